@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+from .chat import op3_chat
 from .common import table
+from .decontaminate import op8_decontaminate
 from .simhash import op7_simhash
 
 _DOCS = {
@@ -16,8 +19,11 @@ _DOCS = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     on_docs = {name: (lambda s, d, f=f: f(table(s, d, "documents"))) for name, f in _DOCS.items()}
-    return on_docs
+    return on_docs | {
+        "op3_chat": lambda s, d: op3_chat(table(s, d, "conversations")),
+        "op8_decontaminate": lambda s, d: op8_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": oracles.OP3, "op8_decontaminate": oracles.OP8}
