@@ -10,9 +10,12 @@ from . import oracles
 from .chat import op3_chat
 from .common import table
 from .decontaminate import op8_decontaminate
+from .quality import op5_quality
 from .simhash import op7_simhash
+from .toxicity import op4_toxicity
 
 _DOCS = {
+    "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
 }
 
@@ -20,6 +23,7 @@ _DOCS = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     on_docs = {name: (lambda s, d, f=f: f(table(s, d, "documents"))) for name, f in _DOCS.items()}
     return on_docs | {
+        "op4_toxicity": lambda s, d: op4_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op3_chat": lambda s, d: op3_chat(table(s, d, "conversations")),
         "op8_decontaminate": lambda s, d: op8_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
     }
