@@ -10,11 +10,15 @@ from . import oracles
 from .chat import op3_chat
 from .common import table
 from .decontaminate import op8_decontaminate
+from .language import op1_language
+from .packing import op2_packing
 from .quality import op5_quality
 from .simhash import op7_simhash
 from .toxicity import op4_toxicity
 
 _DOCS = {
+    "op1_language": op1_language,
+    "op2_packing": op2_packing,
     "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
 }
