@@ -30,8 +30,10 @@ MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 0.38, 0.27
 #: References for at most so many languages are broadcast (2 kB each); more are joined by a shuffle.
 BROADCAST_LANGUAGES = 2_000
 _SPACE = r"[\x20\x09-\x0D]+"
-#: Character classes; white space and what is left (lower-case letters) are the last two.
-_CLASSES = (r"[A-Z]", r"[0-9]", r"[.,;:!?'\"()\[\]\-]", r"[#*$%&|<>]", r"[^\x00-\x7F]")
+#: Character classes: these four, bytes beyond one a character (letters that aren't ASCII), white
+#: space, and all the rest (lower-case letters in the main).
+_CLASSES = (r"[A-Z]", r"[0-9]", r"[.,;:!?'\"()\[\]\-]", r"[#*$%&|<>]")
+_REST = r"[a-z\x20\x09-\x0D\x80-\x{10FFFF}]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,11 +45,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
 
 
-def repeated_words(items: Column, width: int = WINDOW) -> Column:
-    """Words inside windows of `width` words that occur twice or more in the array."""
-    none = F.array().cast("array<int>")
-    at = F.when(F.size(items) >= width, F.sequence(F.lit(0), F.size(items) - width)).otherwise(none)
-    hashes = F.transform(at, lambda i: F.xxhash64(F.slice(items, i + 1, F.lit(width))))
+def window_hashes(items: Column, width: int = WINDOW) -> Column:
+    """A hash of each window of `width` words."""
+    at = F.when(F.size(items) >= width, F.sequence(F.lit(0), F.size(items) - width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.slice(items, i + 1, F.lit(width))))
+
+
+def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
+    """Words inside windows that occur twice or more, from the hashes of all windows in order."""
 
     def marks(s: Column) -> Column:
         same = lambda j, k: F.coalesce(F.get(s, j)["h"] == F.get(s, k)["h"], F.lit(False))
@@ -60,8 +65,8 @@ def repeated_words(items: Column, width: int = WINDOW) -> Column:
         step = lambda a, p: F.struct((p + width).alias("end"), (a["n"] + width - F.greatest(F.lit(0), a["end"] - p)).alias("n"))
         return F.aggregate(sorted_marks, zero, step, lambda a: a["n"])
 
-    ordered = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(ordered(h), lambda s: covered(marks(s))))).cast("long")
+    ordered = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(ordered, lambda s: covered(marks(s)))).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -81,12 +86,12 @@ def shares(counts: Column, total: Column) -> Column:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"), words(F.col("text")).alias("w"))
-    rows = rows.withColumn("word_chars", F.char_length(F.array_join("w", "")).cast("long"))
-    found = [F.regexp_count("text", F.lit(p)).cast("long") for p in _CLASSES]
-    space = F.char_length("text").cast("long") - F.col("word_chars")
-    return rows.withColumn("classes", F.array(*found, space)).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Class counts of each text; one pass leaves the few characters that the first classes look at."""
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"rest": F.regexp_replace("text", _REST, ""), "n_chars": F.char_length("text").cast("long")})
+    found = [F.regexp_count("rest", F.lit(p)).cast("long") for p in _CLASSES]
+    wide = F.octet_length("text").cast("long") - F.col("n_chars")
+    return rows.select("doc_id", "lang", "text", "n_chars", F.array(*found, wide).alias("classes"))
 
 
 def _classes(counts: Column, total: Column) -> Column:
@@ -95,15 +100,17 @@ def _classes(counts: Column, total: Column) -> Column:
 
 def references(docs: DataFrame) -> DataFrame:
     """documents -> (lang, ref_chars, ref_words array<string>, ref_shares): over all documents."""
-    rows = _counted(docs)
-    sums = rows.groupBy("lang").agg(*(F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(_CLASSES) + 1)), F.sum("n_chars").alias("chars"), F.sum(F.size("w")).alias("all"))
+    spaces = F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]")).cast("long")
+    rows = _counted(docs).select("lang", "n_chars", F.array_append("classes", spaces).alias("classes"))
+    sums = rows.groupBy("lang").agg(*(F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(_CLASSES) + 2)), F.sum("n_chars").alias("chars"))
     total = F.col("chars")
-    chars = sums.select("lang", "all", shares(_classes(F.array(*(F.col(f"c{k}") for k in range(len(_CLASSES) + 1))), total), total).alias("ref_chars"))
+    chars = sums.select("lang", shares(_classes(F.array(*(F.col(f"c{k}") for k in range(len(_CLASSES) + 2))), total), total).alias("ref_chars"))
     text = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(words(F.col("text"))).alias("word"))
     counts = text.groupBy("lang", "word").agg(F.count("*").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    every = counts.groupBy("lang").agg(F.sum("n").alias("all"))
     top = counts.withColumn("k", F.row_number().over(best)).where(F.col("k") <= COMMON).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "word", "n"))).alias("top"))
-    named = chars.join(top, "lang", "left")
+    named = chars.join(top.join(every, "lang"), "lang", "left")
     none = F.array().cast("array<struct<k int, word string, n bigint>>")
     part = shares(F.transform(F.coalesce("top", none), lambda t: t["n"]), F.col("all"))
     return named.select("lang", "ref_chars", F.transform(F.coalesce("top", none), lambda t: t["word"]).alias("ref_words"), part.alias("part")).select(
@@ -116,7 +123,8 @@ def assess(docs: DataFrame) -> DataFrame:
     refs = stored(references(docs), "quality-refs")
     if refs.count() <= BROADCAST_LANGUAGES:
         refs = F.broadcast(refs)
-    rows = _counted(docs).join(refs, "lang")
+    rows = _counted(docs).withColumn("w", words(F.col("text"))).withColumn("word_chars", F.char_length(F.array_join("w", "")).cast("long"))
+    rows = rows.withColumn("classes", F.array_append("classes", F.col("n_chars") - F.col("word_chars"))).withColumn("h", window_hashes(F.col("w"))).join(refs, "lang")
     n = F.size("w")
     common = let(F.filter("w", lambda x: F.array_contains("ref_words", x)), lambda c: let(F.transform("ref_words", lambda r: F.size(c) - F.size(F.array_remove(c, r))), lambda k: F.array_append(k, n - F.size(c))))
     rows = rows.select(
@@ -125,7 +133,7 @@ def assess(docs: DataFrame) -> DataFrame:
         "word_chars",
         F.get("classes", F.lit(3)).alias("n_symbols"),
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
-        repeated_words(F.col("w")).alias("n_repeat_words"),
+        repeated_words(F.col("h")).alias("n_repeat_words"),
         F.when(n >= MIN_WORDS, divergence(shares(common, n), F.col("ref_shares"))).alias("word_distance"),
         F.when(F.col("n_chars") >= MIN_CHARS, divergence(shares(_classes(F.col("classes"), F.col("n_chars")), F.col("n_chars")), F.col("ref_chars"))).alias("char_distance"),
     )
