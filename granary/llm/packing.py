@@ -32,7 +32,9 @@ from .common import ROW, stored, with_row
 CAPACITY = 4096
 END_ID = 2
 #: Words whose ids a task keeps at hand.
-CACHED = 300_000
+CACHED = 500_000
+#: Cut pieces that are broadcast (about 60 bytes each); more meet their texts in a shuffled join.
+BROADCAST_PIECES = 50_000
 
 
 class WordIds(dict):
@@ -51,10 +53,16 @@ class WordIds(dict):
         if len(self) + len(new) > CACHED:
             self.clear()
             new = list(words)
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        for k in range(0, len(new), 2_000):
+            part = new[k : k + 2_000]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            # Which word each id came from, by where it starts in the joined text.
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            ids = np.array(e.ids, "<u4")
+            cuts = np.searchsorted(np.array([at for at, _ in e.offsets], np.int64), begins).tolist()
+            for w, x, y in zip(part, cuts[:-1], cuts[1:], strict=True):
+                self[w] = ids[x:y].tobytes()
 
     def ids(self, text: str | None) -> bytes:
         words, out = (text or "").encode("utf-8", "surrogatepass").split(), []
@@ -223,7 +231,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     ranked = items.join(ahead, ["bucket", "length"]).select(ROW, "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("ahead")).alias("rank"))
     pieces = stored(ranked.mapInArrow(run, _PIECE), "packing-pieces")
     # Pieces of cut items: their documents are tokenized again for the checksums.
+    n_cut = pieces.where("cut").count()
     cut = pieces.where("cut").groupBy(ROW).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
+    if n_cut <= BROADCAST_PIECES:
+        cut = F.broadcast(cut)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(vocabulary)
