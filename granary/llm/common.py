@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Row handle added by the operators; it stays the same however often a file scan is run again.
@@ -36,10 +37,44 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row(df: DataFrame) -> DataFrame:
+def free_name(df: DataFrame, name: str = ROW) -> str:
+    """`name`, or a longer one if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row(df: DataFrame, name: str = ROW) -> DataFrame:
     """Number the rows of a stored table. The number depends on the file splits alone, so every
     branch of a plan and every retried task sees the same one."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def window_hashes(items: Column, width: int) -> Column:
+    """A 64-bit hash of each window of `width` words, in time linear in the words: hashes of 1, 2, 4, ...
+    words are joined pairwise. Fewer words than `width` give none."""
+
+    def joined(a: Column, b: Column, shift: int) -> Column:
+        """a[i] with b[i + shift], as far as there is one."""
+        n = F.greatest(F.lit(0), F.size(b) - shift)
+        return F.zip_with(F.slice(a, 1, n), F.slice(b, F.lit(shift + 1), n), lambda x, y: F.xxhash64(x, y))
+
+    def grown(power: Column, size: int, done: Column | None, have: int) -> Column:
+        """power: hashes of `size` words; done: of the first `have` words of each window so far."""
+        if width & size:
+            done = power if done is None else joined(done, power, have)
+            have += size
+        if have == width:
+            return done
+        return let(joined(power, power, size), lambda twice: grown(twice, size * 2, done, have))
+
+    return let(F.transform(items, lambda w: F.xxhash64(w)), lambda one: grown(one, 1, None, 0))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def held_out(doc_id: str, mod: int, rest: int):

@@ -1,9 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
 Each benchmark item gives its windows of `WIDTH` consecutive words; a shorter one, unless it has
-no word, is one window. The windows of every document meet that set in one broadcast hash join on
-the window itself, so a hash hit is verified by comparing the words. Beyond `BROADCAST_WINDOWS`
-windows the same join runs as a shuffled one. Document words inside any occurrence are hit.
+no word, is one window. The window hashes of every document meet that set in one broadcast hash
+join, and hits are verified by comparing the words. Beyond `BROADCAST_WINDOWS` windows the same
+join runs as a shuffled one. Document words inside any occurrence are hit.
 
 Null and empty texts have no words and no hit. Repeated rows and repeated ids are each judged on
 their own row. Without benchmark windows nothing is contaminated. Only DataFrame functions run.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, with_row
+from .common import ROW, free_name, window_hashes, with_row
 
 WIDTH = 10
 #: About 100 bytes a window: the set stays near 100 MB.
@@ -32,31 +32,36 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _SEPARATOR), "")
 
 
-def windows(items: Column, width: int) -> Column:
-    """array<struct<pos, width, gram>> of every window of `width` words."""
-    at = F.when(F.size(items) >= width, F.sequence(F.lit(0), F.size(items) - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.array_join(F.slice(items, i + 1, F.lit(width)), " ").alias("gram")))
-
-
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """benchmark -> (width, gram, items): each distinct window and the items that have it."""
+    """benchmark -> (width, h, gram, items): each distinct window, its hash, and the items that have it."""
     rows = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(width))
-    at = F.sequence(F.lit(0), F.size("w") - size)
-    grams = rows.select("item_id", size.alias("width"), F.explode(F.transform(at, lambda i: F.array_join(F.slice(F.col("w"), i + 1, size), " "))).alias("gram"))
-    return grams.groupBy("width", "gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    hashes = F.coalesce(*(F.when(size == k, window_hashes(F.col("w"), k)) for k in range(1, width + 1)))
+    grams = rows.select("item_id", "w", size.alias("width"), F.posexplode(hashes).alias("pos", "h"))
+    grams = grams.select("item_id", "width", "h", F.array_join(F.slice("w", F.col("pos") + 1, F.col("width")), " ").alias("gram"))
+    return grams.groupBy("width", "h", "gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(__row, doc_id, n_words, spans array<struct<pos, width>>, items array<string>) for every row."""
     grams = item_windows(benchmark, width)
     sizes = {r["width"]: r["count"] for r in grams.groupBy("width").count().collect()}  # ten rows at most
-    if sum(sizes.values()) <= BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
+    small = sum(sizes.values()) <= BROADCAST_WINDOWS
     rows = with_row(docs.select("doc_id", "text")).select(ROW, "doc_id", words(F.col("text")).alias("w"))
-    none = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("width"), F.lit(None).cast("string").alias("gram")))
-    found = rows.select(ROW, "doc_id", F.size("w").cast("long").alias("n_words"), F.inline(F.concat(none, *(windows(F.col("w"), k) for k in sorted(sizes)))))
-    met = found.join(grams, ["width", "gram"], "left").where("items is not null or pos < 0")
+    # One window of no words stands for each document.
+    none = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("pos"), F.lit(0).alias("width")))
+
+    def each(k: int) -> Column:
+        return F.transform(window_hashes(F.col("w"), k), lambda h, i: F.struct(h.alias("h"), i.alias("pos"), F.lit(k).alias("width")))
+
+    found = rows.withColumn("at", F.concat(none, *map(each, sorted(sizes)))).select(ROW, "doc_id", F.size("w").cast("long").alias("n_words"), "w", F.inline("at"))
+    text = F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("pos") + 1), F.col("width")), " ")
+    if small:
+        named = F.broadcast(grams.withColumnsRenamed({"h": "__h", "width": "__width"}))
+        met = found.join(named, (F.col("h") == F.col("__h")) & (F.col("width") == F.col("__width")) & (text == F.col("gram")), "left")
+    else:
+        met = found.withColumn("gram", text).drop("w").join(grams, ["h", "width", "gram"], "left")
+    met = met.where("items is not null or pos < 0")
     span = F.when(F.col("items").isNotNull(), F.struct("pos", "width"))
     return met.groupBy(ROW, "doc_id", "n_words").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
@@ -72,8 +77,9 @@ def covered(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs without any benchmark window."""
-    hit = find_hits(docs, benchmark, width).where(F.size("spans") > 0).select(ROW)
-    return with_row(docs).join(hit, ROW, "left_anti").drop(ROW)
+    row = free_name(docs)
+    hit = find_hits(docs, benchmark, width).where(F.size("spans") > 0).select(F.col(ROW).alias(row))
+    return with_row(docs, row).join(hit, row, "left_anti").drop(row)
 
 
 def op8_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

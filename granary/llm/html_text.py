@@ -12,7 +12,8 @@ The sort is by range of (host, path, page_id), so a host with any number of page
 partitions; a page at the edge of one pairs within it.
 
 Null html is empty, and so is the text of a page without blocks. Null URLs form a host of their
-own. Repeated rows are kept; a page isn't paired with an identical one. An empty table gives no rows.
+own. Repeated rows are kept; copies next to one another are paired with the next other page, and
+empty pages with none. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -231,23 +232,32 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parsed(row: tuple) -> tuple:
         return (row, list(zip(row[4], row[5].split("\n"), strict=True)) if row[4] else [])
 
-    def text(before, own, after) -> str:
-        near = [x for x in (before, after) if x is not None and x[0][2] == own[0][2] and x[0][5] != own[0][5]]
+    def texts(before, run, after) -> list[tuple]:
+        """Rows of a run of pages with the same lines, given the pages with other lines around it."""
+        own, ids = run
+        near = [x for x in (before, after) if x is not None and x[0][2] == own[0][2]]
         best = max(near, key=lambda x: _common(x[0][3], own[0][3]), default=None)
-        return main_text(own[1], best and best[1])
+        text = main_text(own[1], best and best[1])
+        return [(page_id, url, text) for page_id, url in ids]
 
     out: list[tuple] = []
-    before = own = None
+    before = run = None
     for row in rows():
-        after = parsed(row)
-        if own is not None:
-            out.append((*own[0][:2], text(before, own, after)))
-        before, own = own, after
+        if not row[5]:
+            out.append((*row[:2], ""))
+        elif run is not None and (row[2], row[5]) == (run[0][0][2], run[0][0][5]):
+            run[1].append(row[:2])
+        else:
+            after = parsed(row)
+            if run is not None:
+                out += texts(before, run, after)
+                before = run[0]
+            run = (after, [row[:2]])
         if len(out) >= 1000:
             yield _batch(out)
             out = []
-    if own is not None:
-        out.append((*own[0][:2], text(before, own, None)))
+    if run is not None:
+        out += texts(before, run, None)
     yield _batch(out)
 
 

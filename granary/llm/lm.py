@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,12 +218,17 @@ def _starts(lengths: list[int]) -> np.ndarray:
     return np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
 
 
+def shared(df: DataFrame, trie: Trie) -> Broadcast:
+    """The trie for the executors, with its class: they have no copy of this package."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(trie))
+
+
 def _grams(trie: Trie, learning: DataFrame, least: int, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and counts of the n-grams of one order with count `least` or more."""
-    shared = learning.sparkSession.sparkContext.broadcast(trie)
+    sent = shared(learning, trie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = cloudpickle.loads(sent.value)
         ids = Ids(model.vocabulary)
         for words, lengths in _streams(t.as_py() for b in batches for t in b.column(0)):
             w, start = np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), _starts(lengths)
@@ -240,7 +246,6 @@ def _grams(trie: Trie, learning: DataFrame, least: int, order: int) -> tuple[np.
 
 def score(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    spark = docs.sparkSession
     rows = with_row(docs.select("doc_id", "text")).select(ROW, "doc_id", held_out("doc_id", MOD, REST).alias("held_out"), "text")
     learns = F.col("doc_id").isNotNull() & ~F.col("held_out")
     asked = stored(rows.select(ROW, learns.alias("learn"), "text").mapInArrow(_asked, "bucket long, h long, n long"), "lm-asked")
@@ -254,12 +259,15 @@ def score(docs: DataFrame) -> DataFrame:
     for order in (2, 3):
         trie.add(*_grams(trie, learning, max(2, int(np.ceil(n_all * GRAM_SHARE))), order))
     trie.sizes = []
-    shared = spark.sparkContext.broadcast(trie)
+    sent = shared(docs, trie)
+    loaded: list[Trie] = []  # once a task
     known = asked.select("bucket", "h").join(counts, "h").select("bucket", "h", "c")
     base = float(n_all + n_types + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = shared.value
+        if not loaded:
+            loaded.append(cloudpickle.loads(sent.value))
+        model = loaded[0]
         order = np.argsort(right.column("h").to_numpy())
         hashes, found = right.column("h").to_numpy()[order], right.column("c").to_numpy()[order]
         local: dict[bytes, int] = {}

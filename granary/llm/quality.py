@@ -14,12 +14,10 @@ repeated ids are each judged on their own. Only DataFrame functions run.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let, stored, window_hashes
 
 WINDOW = 8
 COMMON = 24
@@ -36,21 +34,10 @@ _CLASSES = (r"[A-Z]", r"[0-9]", r"[.,;:!?'\"()\[\]\-]", r"[#*$%&|<>]")
 _REST = r"[a-z\x20\x09-\x0D\x80-\x{10FFFF}]+"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
 
 
-def window_hashes(items: Column, width: int = WINDOW) -> Column:
-    """A hash of each window of `width` words."""
-    at = F.when(F.size(items) >= width, F.sequence(F.lit(0), F.size(items) - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.slice(items, i + 1, F.lit(width))))
-
-
 def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
     """Words inside windows that occur twice or more, from the hashes of all windows in order."""
 
@@ -124,7 +111,7 @@ def assess(docs: DataFrame) -> DataFrame:
     if refs.count() <= BROADCAST_LANGUAGES:
         refs = F.broadcast(refs)
     rows = _counted(docs).withColumn("w", words(F.col("text"))).withColumn("word_chars", F.char_length(F.array_join("w", "")).cast("long"))
-    rows = rows.withColumn("classes", F.array_append("classes", F.col("n_chars") - F.col("word_chars"))).withColumn("h", window_hashes(F.col("w"))).join(refs, "lang")
+    rows = rows.withColumn("classes", F.array_append("classes", F.col("n_chars") - F.col("word_chars"))).withColumn("h", window_hashes(F.col("w"), WINDOW)).join(refs, "lang")
     n = F.size("w")
     common = let(F.filter("w", lambda x: F.array_contains("ref_words", x)), lambda c: let(F.transform("ref_words", lambda r: F.size(c) - F.size(F.array_remove(c, r))), lambda k: F.array_append(k, n - F.size(c))))
     rows = rows.select(

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, components, stored, with_row
+from .common import ROW, components, free_name, stored, with_row
 
 WIDTH, SEED, RADIUS = 4, 42, 4
 CHUNK = 2048
@@ -212,10 +212,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class stays, the one with the smallest id (the first of repeated rows)."""
-    found = near_duplicates(docs)
+    found, row = near_duplicates(docs), free_name(docs)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW)
-    keep = found.groupBy("root").agg(F.min(order).alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
-    return with_row(docs).join(keep, ROW, "left_semi").drop(ROW)
+    keep = found.groupBy("root").agg(F.min(order).alias("least")).select(F.col(f"least.{ROW}").alias(row))
+    return with_row(docs, row).join(keep, row, "left_semi").drop(row)
 
 
 def op7_simhash(docs: DataFrame) -> DataFrame:

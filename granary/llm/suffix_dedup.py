@@ -15,10 +15,10 @@ starts with one anchor:
 Counts of hashes are sums of partial counts, so no hash, however common, meets in one task; what
 a task sees of one hash leaves it as one row. Copies of a document or passage thus cost one row a task.
 
-`bwt` in this module builds the collection's Burrows-Wheeler transform and common prefixes column
+The module `bwt` builds the collection's Burrows-Wheeler transform and common prefixes column
 by column through sequential files. Its rounds are as many as the longest text has symbols, each
 of them reading all files: on whole documents that is out of reach (see the README), so it serves
-small collections, where it gives the same result.
+small collections, where `repeated_starts` gives the same result.
 
 Null texts are empty. Texts under `SPAN` bytes lose nothing. Repeated rows repeat each other.
 """
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, stored, with_row
+from .common import ROW, free_name, stored, with_row
 
 SPAN, GRAM, STEP = 400, 32, 16
 
@@ -222,15 +222,17 @@ def rest_of(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs, with __row and the spans of each row."""
+    """docs, and the spans of each row as the last column."""
     rows = with_row(docs.select("text")).select(ROW, "text")
-    return with_row(docs).join(spans(rows), ROW, "left")
+    row, found = free_name(docs), free_name(docs, "__spans")
+    named = spans(rows).select(F.col(ROW).alias(row), F.col("spans").alias(found))
+    return with_row(docs, row).join(named, row, "left").select(*(F.col(f"`{c}`") for c in docs.columns), found)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs without the repeated bytes. A character of which only part is left goes too; n_chars, if
     there, is counted anew."""
-    rows = with_spans(docs).drop(ROW).select(*docs.columns, "spans")
+    rows = with_spans(docs)
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -253,7 +255,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op6_suffix_dedup(docs: DataFrame) -> DataFrame:
-    rows = with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "spans")
+    rows = with_spans(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
