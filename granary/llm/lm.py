@@ -1,10 +1,14 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Tokens are words, and one end for each text. Every token's count comes from the training texts of
-the whole table. The model adds bigrams and trigrams of words whose share of all tokens is at least
-`WORD_SHARE` (so at most 1 / WORD_SHARE words), kept where their own share is at least `GRAM_SHARE`
-and their count two (so at most 1 / GRAM_SHARE of each order): its size has a bound that doesn't
-grow with the corpus, and the driver may hold it.
+the whole table. The model adds every bigram and trigram that the training texts have at least `LEAST`
+times, whatever the size of the corpus, so it grows with the corpus; no process holds all of it.
+N-grams are known by 64-bit hashes.
+
+Texts come in buckets (`BUCKET` consecutive rows). Each asks once for each word and n-gram it has, with
+its own training counts; sums of these by hash are the model's counts, and go back to the buckets that
+asked. There they become the part of the trie that the bucket needs. A frequent word or n-gram
+costs a row a bucket.
 
 A level of the trie is the sorted sequence of parent * words + word, an Elias-Fano code of high bits
 in unary and low bits in an array; words are numbered by hash, and successors of a context are
@@ -13,9 +17,6 @@ a quantised discounted probability, each context a quantised weight of the order
 P(w | c) = high(c w) + rest(c) P(w | shorter c), down to (count + 1) / (N + V + 1). Levels are flat buffers
 that map from a file as they are.
 
-Counts come back to the texts by bucket (`BUCKET` consecutive rows): each bucket asks once for each
-word it has, so frequent words cost a row a bucket, and texts and answers meet by bucket.
-
 Null texts are empty: the end token alone. Null ids aren't learnt from. Repeated rows count twice.
 An empty table gives no rows.
 """
@@ -29,7 +30,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ from .common import ROW, held_out, stored, with_row
 
 MOD, REST = 7, 2
 BUCKET = 4096
-WORD_SHARE, GRAM_SHARE, DISCOUNT = 1e-5, 2e-7, 0.5
+LEAST, DISCOUNT = 2, 0.5
 END = b"\n"  # no word has white space
 LEVELS = 255
 
@@ -111,7 +111,7 @@ CODE = np.concatenate(([0.0], 10.0 ** ((np.arange(1, LEVELS + 1) - LEVELS) * 8 /
 
 @dataclass
 class Trie:
-    vocabulary: np.ndarray  # sorted hashes of the frequent words
+    vocabulary: np.ndarray  # sorted hashes of the words
     counts: np.ndarray  # their counts
     levels: list[EliasFano] = field(default_factory=list)
     high: list[np.ndarray] = field(default_factory=list)  # quantised probability of each n-gram
@@ -122,13 +122,15 @@ class Trie:
     def width(self) -> int:
         return max(1, len(self.vocabulary))
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """One more level from sorted keys parent * width + word and their counts."""
+    def add(self, keys: np.ndarray, counts: np.ndarray, kept: np.ndarray | None = None) -> None:
+        """One more level from sorted keys parent * width + word and their counts. kept: by context, the
+        share of all its n-grams, if this trie doesn't have all."""
         context = self.sizes[-1] if self.sizes else self.counts
         parent = keys // self.width
         share = (counts - DISCOUNT) / context[parent] if len(keys) else np.zeros(0)
         self.high.append(quantised(share))
-        kept = np.bincount(parent, CODE[self.high[-1]], minlength=len(context)) if len(keys) else np.zeros(len(context))
+        if kept is None:
+            kept = np.bincount(parent, CODE[self.high[-1]], minlength=len(context)) if len(keys) else np.zeros(len(context))
         self.rest.append(quantised(np.clip(1 - kept, 1e-6, 1.0)))
         self.levels.append(EliasFano(keys, len(context) * self.width))
         self.sizes.append(counts)
@@ -185,17 +187,21 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-class Ids(dict):
-    """Word -> id among the frequent words, or -1."""
+def gram_hash(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from its context's hash and its last word's."""
+    x = parent.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(33))).view(np.int64)
+
 
-    def __init__(self, vocabulary: np.ndarray):
-        super().__init__()
-        self.known = {int(h): k for k, h in enumerate(vocabulary)}
+class Hashes(dict):
+    """Word -> hash."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        out = self[word] = self.known.get(word_hash(word), -1)
+        out = self[word] = word_hash(word)
         return out
 
 
@@ -218,68 +224,114 @@ def _starts(lengths: list[int]) -> np.ndarray:
     return np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
 
 
-def shared(df: DataFrame, trie: Trie) -> Broadcast:
-    """The trie for the executors, with its class: they have no copy of this package."""
-    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(trie))
+def _asked_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(__row, learn, text) -> (bucket, parent, key, n): n-grams of each bucket with their contexts and
+    training counts. A bucket of many tokens may ask twice."""
+    cache = Hashes()
+    bucket, words, lengths, learns = None, [], [], []
 
+    def out() -> pa.RecordBatch:
+        h, start = np.fromiter(map(cache.__getitem__, words), np.int64, len(words)), _starts(lengths)
+        learn, place = np.repeat(np.array(learns, bool), lengths), np.arange(len(words))
+        two, three = np.flatnonzero(place - 1 >= start), np.flatnonzero(place - 2 >= start)
+        pair = np.zeros(len(words), np.int64)
+        pair[two] = gram_hash(h[two - 1], h[two])
+        parent = np.concatenate((h[two - 1], pair[three - 1]))
+        key, first, which = np.unique(np.concatenate((pair[two], gram_hash(pair[three - 1], h[three]))), return_index=True, return_inverse=True)
+        n = np.bincount(which, np.concatenate((learn[two], learn[three])), minlength=len(key)).astype(np.int64)
+        order = np.argsort(parent[first])  # equal contexts side by side shrink when compressed
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), bucket, np.int64)), pa.array(parent[first][order]), pa.array(key[order]), pa.array(n[order])], names=["bucket", "parent", "key", "n"])
 
-def _grams(trie: Trie, learning: DataFrame, least: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the n-grams of one order with count `least` or more."""
-    sent = shared(learning, trie)
+    for b in batches:
+        for row, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if lengths and (row // BUCKET != bucket or len(words) >= 1_000_000):
+                yield out()
+                words, lengths, learns = [], [], []
+            bucket = row // BUCKET
+            own = tokens(text.as_py())
+            words += own
+            lengths.append(len(own))
+            learns.append(bool(learn))
+    if lengths:
+        yield out()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = cloudpickle.loads(sent.value)
-        ids = Ids(model.vocabulary)
-        for words, lengths in _streams(t.as_py() for b in batches for t in b.column(0)):
-            w, start = np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), _starts(lengths)
-            parent = model.nodes(w, start)[-1] if model.levels else w
-            at = np.flatnonzero((parent[:-1] >= 0) & (w[1:] >= 0) & (np.arange(1, len(w)) - order + 1 >= start[1:])) + 1
-            keys, n = np.unique(parent[at - 1] * model.width + w[at], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    found = learning.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = found.toArrow()  # at most 1 / GRAM_SHARE
-    keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-    sort = np.argsort(keys)
-    return keys[sort], n[sort]
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, parent, key, n) sorted by key -> (bucket, parent, key, c): each row with its key's
+    count, where that is `LEAST` or more."""
+    held = [np.zeros(0, np.int64)] * 4
+
+    def out(rows: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, parent, key, n = rows
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        c = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(key)))) if len(key) else n
+        ok = c >= LEAST
+        return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (bucket, parent, key, c)], names=["bucket", "parent", "key", "c"])
+
+    for b in batches:
+        if b.num_rows:
+            held = [np.concatenate((x, c.to_numpy())) for x, c in zip(held, b.columns, strict=True)]
+            end = int(np.searchsorted(held[2], held[2][-1]))  # the last key may go on
+            yield out([x[:end] for x in held])
+            held = [x[end:] for x in held]
+    yield out(held)
+
+
+def local_trie(ids: np.ndarray, start: np.ndarray, vocabulary: np.ndarray, look) -> Trie:
+    """The part of the model's trie under the n-grams of some texts. look: hashes -> their (count, count
+    of the n-grams that follow, number of these), zero where the model has none."""
+    count, after, kinds = look(vocabulary)
+    trie, place = Trie(vocabulary, count), np.arange(len(ids))
+    hashes, node = vocabulary, ids
+    for order in (2, 3):
+        at = np.flatnonzero((node[:-1] >= 0) & (place[1:] - order + 1 >= start[1:])) + 1
+        keys = np.unique(node[at - 1] * trie.width + ids[at])
+        own = gram_hash(hashes[keys // trie.width], vocabulary[keys % trie.width])
+        found = look(own)
+        has = found[0] >= LEAST
+        share = np.where(kinds > 0, (after - DISCOUNT * kinds) / np.maximum(count, 1), 0.0)
+        keys, hashes, (count, after, kinds) = keys[has], own[has], (x[has] for x in found)
+        trie.add(keys, count, share)
+        node = trie.nodes(ids, start)[-1]
+    return trie
 
 
 def score(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     rows = with_row(docs.select("doc_id", "text")).select(ROW, "doc_id", held_out("doc_id", MOD, REST).alias("held_out"), "text")
     learns = F.col("doc_id").isNotNull() & ~F.col("held_out")
-    asked = stored(rows.select(ROW, learns.alias("learn"), "text").mapInArrow(_asked, "bucket long, h long, n long"), "lm-asked")
+    marked = rows.select(ROW, learns.alias("learn"), "text")
+    asked = stored(marked.mapInArrow(_asked, "bucket long, h long, n long"), "lm-asked")
     counts = stored(asked.groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
     total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, n_types = total["n"], total["v"]
-    # Each has at least WORD_SHARE of all tokens: 1 / WORD_SHARE rows at most.
-    often = counts.where(F.col("c") >= max(2.0, n_all * WORD_SHARE)).orderBy("h").collect()
-    trie = Trie(np.array([r["h"] for r in often], np.int64), np.array([r["c"] for r in often], np.int64))
-    learning = rows.where(learns).select("text")
-    for order in (2, 3):
-        trie.add(*_grams(trie, learning, max(2, int(np.ceil(n_all * GRAM_SHARE))), order))
-    trie.sizes = []
-    sent = shared(docs, trie)
-    loaded: list[Trie] = []  # once a task
-    known = asked.select("bucket", "h").join(counts, "h").select("bucket", "h", "c")
+    dealt = marked.mapInArrow(_asked_grams, "bucket long, parent long, key long, n long").repartition("key").sortWithinPartitions("key")
+    grams = stored(dealt.mapInArrow(_counted, "bucket long, parent long, key long, c long"), "lm-grams")
+    each = grams.groupBy("key").agg(F.min("parent").alias("parent"), F.min("c").alias("c"))
+    contexts = stored(each.groupBy("parent").agg(F.sum("c").alias("after"), F.count("*").alias("kinds")).withColumnRenamed("parent", "key"), "lm-contexts")
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.join(contexts, "key", "left").select(*df.columns, F.coalesce("after", F.lit(0)).alias("after"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
+
+    words = asked.select("bucket", F.col("h").alias("key")).join(whole(counts.withColumnRenamed("h", "key")), "key")
+    fields = ("bucket", "key", "c", "after", "kinds")
+    known = words.select(*fields).unionByName(whole(grams.select("bucket", "key", "c")).select(*fields))
     base = float(n_all + n_types + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not loaded:
-            loaded.append(cloudpickle.loads(sent.value))
-        model = loaded[0]
-        order = np.argsort(right.column("h").to_numpy())
-        hashes, found = right.column("h").to_numpy()[order], right.column("c").to_numpy()[order]
-        local: dict[bytes, int] = {}
+        order = np.argsort(right.column("key").to_numpy())
+        keys, *values = (right.column(c).to_numpy()[order] for c in fields[1:])
+
+        def look(h: np.ndarray) -> list[np.ndarray]:
+            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+            return [np.where(keys[at] == h, v[at], 0) if len(keys) else np.zeros(len(h), np.int64) for v in values]
+
+        cache = Hashes()
         out: list[list] = [[], [], [], []]
         for words, lengths in _streams(t.as_py() for t in left.column("text")):
-            new = list({*words} - local.keys())
-            h = np.fromiter(map(word_hash, new), np.int64, len(new))
-            local.update(zip(new, np.searchsorted(hashes, h).tolist(), strict=True))
-            at = np.fromiter(map(local.__getitem__, words), np.int64, len(words))
-            c, own = found[at], hashes[at]
-            spot = np.minimum(np.searchsorted(model.vocabulary, own), max(0, len(model.vocabulary) - 1))
-            ids = np.where(model.vocabulary[spot] == own, spot, -1) if len(model.vocabulary) else np.full(len(words), -1)
+            vocabulary, ids = np.unique(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)), return_inverse=True)
+            model = local_trie(ids, _starts(lengths), vocabulary, look)
+            c = model.counts[ids]
             p = (c + 1) / base
             first = np.cumsum([0, *lengths[:-1]])
             out[0] += lengths

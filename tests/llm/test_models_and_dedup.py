@@ -285,3 +285,36 @@ def test_model_is_a_distribution():
     for context in range(4):
         total = sum(float(trie.probabilities(np.array([context, w]), np.array([0, 0]), np.array([base[context], base[w]]))[1]) for w in range(4))
         assert total == pytest.approx(1, abs=0.08)
+
+
+def plain_scores(rows):
+    """log10 score of each text by a model of all n-grams that training texts have twice or more."""
+    tokens = [[*SPACE.findall((t or "").lower().encode()), b"\n"] for _, t in rows]
+    held = [i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    counts = Counter(tuple(x[i : i + n]) for x, h in zip(tokens, held, strict=True) if not h for n in (1, 2, 3) for i in range(len(x) - n + 1))
+    words = [g for g in counts if len(g) == 1]
+    base = sum(counts[g] for g in words) + len(words) + 1
+    share = {g: (c - 0.5) / counts[g[:-1]] for g, c in counts.items() if len(g) > 1 and c >= 2}
+    kept = Counter()
+    for g, s in share.items():
+        kept[g[:-1]] += s
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[gram] + 1) / base
+        shorter = p(gram[1:])
+        return share.get(gram, 0) + (1 - kept[gram[:-1]]) * shorter if counts[gram[:-1]] >= 2 else shorter
+
+    return [sum(math.log10(p(tuple(x[max(0, i - 2) : i + 1]))) for i in range(len(x))) for x in tokens]
+
+
+def test_rare_ngrams_of_a_large_corpus(spark, tmp_path):
+    train = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    r = random.Random(3)
+    fill = " ".join(r.choice(("lorem", "ipsum", "dolor", "sit", "amet")) for _ in range(400_000))
+    rows = [(train[0], fill), (train[1], "quartz vex jumps lorem"), (train[2], "a quartz vex jumps"), (held[0], "quartz vex jumps"), (held[1], "jumps vex quartz lorem ipsum"), (train[3], None)]
+    got = {x.doc_id: x for x in lm.op10_lm(documents(spark, tmp_path, rows)).collect()}
+    for (i, _), want in zip(rows, plain_scores(rows), strict=True):
+        assert got[i].score == pytest.approx(want, abs=0.03 * got[i].n_tokens), i
+    assert got[held[0]].score > got[held[0]].base_score + 5
