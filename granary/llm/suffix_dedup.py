@@ -20,13 +20,18 @@ by column through sequential files. Its rounds are as many as the longest text h
 of them reading all files: on whole documents that is out of reach (see the README), so it serves
 small collections, where `repeated_starts` gives the same result.
 
+All of this holds for any `Units`: bytes in strings of `SPAN`, or words in strings of a number of words,
+where a unit is a word's 64-bit hash, so white space between words may differ.
+
 Null texts are empty. Texts under `SPAN` bytes lose nothing. Repeated rows repeat each other.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,37 @@ from pyspark.sql import functions as F
 from .common import ROW, free_name, stored, with_row
 
 SPAN, GRAM, STEP = 400, 32, 16
+WORD_GRAM = 8
+
+
+class Units(NamedTuple):
+    """What strings consist of: how many make one, how many an anchor, and the bytes of each."""
+
+    span: int
+    gram: int
+    size: int
+
+    def of(self, text: str | None) -> bytes:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if self.size == 1:
+            return data
+        return np.array([xxhash.xxh3_64_intdigest(w) for w in data.split()], "<u8").tobytes()
+
+    def hashes(self, data: bytes) -> np.ndarray:
+        """A 64-bit hash of the anchor's units from each position."""
+        if self.size == 1:
+            return gram_hashes(np.frombuffer(data, np.uint8))
+        h = np.frombuffer(data, "<u8")
+        for k in (1, 2, 4):
+            h = _mix(h[:-k] * np.uint64(0xC2B2AE3D27D4EB4F) + _mix(h[k:]))
+        return _mix(h)
+
+
+BYTES = Units(SPAN, GRAM, 1)
+
+
+def words(count: int) -> Units:
+    return Units(count, WORD_GRAM, 8)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,14 +90,14 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mix(h)
 
 
-def groups(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def groups(data: bytes, units: Units = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first start, last start, anchor position, anchor hash) of each run of windows with one anchor."""
-    n = len(data) - SPAN + 1
+    n = len(data) // units.size - units.span + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, np.zeros(0, np.uint64)
-    h = gram_hashes(np.frombuffer(data, np.uint8))
-    width, least = SPAN - GRAM + 1, h
+    h = units.hashes(data)
+    width, least = units.span - units.gram + 1, h
     span = 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -102,16 +138,16 @@ def _key(data: bytes, tag: int) -> int:
     return _signed(xxhash.xxh3_64_intdigest(data, tag))
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
     """(__row, text) -> (__row, low, high, anchor, mark, whole)."""
     names = [ROW, "low", "high", "anchor", "mark", "whole"]
     for b in batches:
         parts: list[list[np.ndarray]] = []
         for row, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            low, high, anchor, mark = groups(data)
+            data, u = units.of(text.as_py()), units.size
+            low, high, anchor, mark = groups(data, units)
             if len(low):
-                whole = np.array([_key(data[x : y + SPAN], 1) for x, y in zip(low.tolist(), high.tolist(), strict=True)], np.int64)
+                whole = np.array([_key(data[x * u : (y + units.span) * u], 1) for x, y in zip(low.tolist(), high.tolist(), strict=True)], np.int64)
                 parts.append([np.full(len(low), row), low, high, anchor, mark.view(np.int64), whole])
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
@@ -125,9 +161,9 @@ def repeated(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("__n")).where("__n > 1").select(column)
 
 
-def spans(rows: DataFrame) -> DataFrame:
+def spans(rows: DataFrame, units: Units = BYTES) -> DataFrame:
     """(__row, text) -> (__row, spans array<struct<low, high>>): starts of windows that repeat."""
-    groups_of = stored(rows.mapInArrow(_find, _FOUND), "suffix-groups")
+    groups_of = stored(rows.mapInArrow(lambda b: _find(b, units), _FOUND), "suffix-groups")
 
     def judged(found: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
         """Ranges that repeat whole, and those still open; with the latter goes one of each kind that
@@ -146,12 +182,12 @@ def spans(rows: DataFrame) -> DataFrame:
 
     known, open_ = judged(groups_of, "suffix-judged")
     # Only the bytes under open groups are needed from here on.
-    pieces = stored(texts(open_).mapInArrow(_cut_out, _PIECES), "suffix-open")
-    steps = pieces.mapInArrow(lambda b: _open_pieces(b, STEP), _FOUND)
+    pieces = stored(texts(open_).mapInArrow(lambda b: _cut_out(b, units), _PIECES), "suffix-open")
+    steps = pieces.mapInArrow(lambda b: _open_pieces(b, STEP, units), _FOUND)
     more, rest = judged(stored(steps, "suffix-steps"), "suffix-judged-steps")
     left = pieces.join(rest.withColumnsRenamed({"low": "from", "high": "to"}), [ROW, "anchor"]).where("`from` >= low and `to` <= high")
     single = left.select(ROW, F.col("from").alias("low"), F.col("to").alias("high"), "anchor", "data", F.col("low").alias("base"))
-    windows = stored(single.mapInArrow(_open_windows, _FOUND), "suffix-windows")
+    windows = stored(single.mapInArrow(lambda b: _open_windows(b, units), _FOUND), "suffix-windows")
     twice = windows.groupBy("mark", "whole").agg(F.count("*").alias("__n")).where("__n > 1").select("mark", "whole")
     last = windows.join(twice, ["mark", "whole"]).select(ROW, "low", "high")
     every = known.unionByName(more).unionByName(last)
@@ -161,20 +197,21 @@ def spans(rows: DataFrame) -> DataFrame:
 _PIECES = f"{ROW} long, low long, high long, anchor long, data binary"
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_out(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
     """(__row, text, ranges) -> a row for each range with the bytes under its windows."""
     for b in batches:
         out: list[tuple] = []
         for row, text, ranges in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-            data = text.as_py().encode("utf-8", "surrogatepass")
-            out += [(row, r["low"], r["high"], r["anchor"], data[r["low"] : r["high"] + SPAN]) for r in ranges]
+            data, u = units.of(text.as_py()), units.size
+            out += [(row, r["low"], r["high"], r["anchor"], data[r["low"] * u : (r["high"] + units.span) * u]) for r in ranges]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], pa.binary())], names=[ROW, "low", "high", "anchor", "data"])
 
 
-def _open_pieces(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+def _open_pieces(batches: Iterator[pa.RecordBatch], step: int, units: Units) -> Iterator[pa.RecordBatch]:
     """Pieces -> steps (__row, low, high, anchor, mark, whole). Steps are counted back from the anchor, so
     equal windows lie in equal steps; the mark hashes the bytes that all windows of the step share."""
+    span, u = units.span, units.size
     for b in batches:
         out: list[tuple] = []
         for row, low, high, anchor, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -183,29 +220,29 @@ def _open_pieces(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.Re
                 k = (anchor - low) // step
                 begin, end = anchor - (k + 1) * step + 1, anchor - k * step
                 stop = min(high, end)
-                # Windows of the full step share [end, begin + SPAN); all of it is inside any of them.
-                core = data[end - base : begin + SPAN - base]
-                out.append((row, low, stop, anchor, _key(core, 1000 + k), _key(data[low - base : stop + SPAN - base], 100_000 + anchor - low)))
+                # Windows of the full step share [end, begin + span); all of it is inside any of them.
+                core = data[(end - base) * u : (begin + span - base) * u]
+                out.append((row, low, stop, anchor, _key(core, 1000 + k), _key(data[(low - base) * u : (stop + span - base) * u], 100_000 + anchor - low)))
                 low = stop + 1
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 6)], names=[ROW, "low", "high", "anchor", "mark", "whole"])
 
 
-def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open_windows(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
     """(__row, low, high, anchor, data, base) -> a row for each window, by its 128-bit hash."""
     for b in batches:
         out: list[tuple] = []
         for row, low, high, anchor, data, base in zip(*(c.to_pylist() for c in b.columns), strict=True):
             for at in range(low, high + 1):
-                key = xxhash.xxh3_128_intdigest(data[at - base : at - base + SPAN])
+                key = xxhash.xxh3_128_intdigest(data[(at - base) * units.size : (at - base + units.span) * units.size])
                 out.append((row, at, at, anchor, _signed(key >> 64), _signed(key & 0xFFFFFFFFFFFFFFFF)))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 6)], names=[ROW, "low", "high", "anchor", "mark", "whole"])
 
 
-def removed_runs(found: list[dict]) -> list[tuple[int, int]]:
-    """Sorted ranges of window starts -> maximal runs of removed bytes [begin, end)."""
+def removed_runs(found: list[dict], span: int = SPAN) -> list[tuple[int, int]]:
+    """Sorted ranges of window starts -> maximal runs of removed units [begin, end)."""
     runs: list[list[int]] = []
     for s in found:
-        begin, end = s["low"], s["high"] + SPAN
+        begin, end = s["low"], s["high"] + span
         if runs and begin <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], end)
         else:
@@ -221,6 +258,26 @@ def rest_of(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
+def joined_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of what any of the runs covers."""
+    out: list[list[int]] = []
+    for begin, end in sorted(runs):
+        if out and begin <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([begin, end])
+    return [(a, b) for a, b in out]
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def bytes_of_words(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words -> runs of bytes from the first word to the last."""
+    at = [m.span() for m in _WORD.finditer(data)]
+    return [(at[a][0], at[b - 1][1]) for a, b in runs]
+
+
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs, and the spans of each row as the last column."""
     rows = with_row(docs.select("text")).select(ROW, "text")
@@ -229,27 +286,36 @@ def with_spans(docs: DataFrame) -> DataFrame:
     return with_row(docs, row).join(named, row, "left").select(*(F.col(f"`{c}`") for c in docs.columns), found)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs without the repeated bytes. A character of which only part is left goes too; n_chars, if
-    there, is counted anew."""
-    rows = with_spans(docs)
-    at = docs.columns.index("text")
+def remove_repeats(docs: DataFrame, least_words: int | None = None) -> DataFrame:
+    """docs without the repeated bytes, and without passages of `least_words` words (8 or more) that repeat,
+    however short. A character of which only part is left goes too; n_chars, if there, is counted anew."""
+    row, source = free_name(docs), with_row(docs.select("text")).select(ROW, "text")
+    rows, names = with_row(docs, row), []
+    for units in [BYTES] if least_words is None else [BYTES, words(least_words)]:
+        names.append(free_name(rows, f"__spans{len(names)}"))
+        rows = rows.join(spans(source, units).select(F.col(ROW).alias(row), F.col("spans").alias(names[-1])), row, "left")
+    rows = rows.select(*(F.col(f"`{c}`") for c in [*docs.columns, *names]))
+    at, width = docs.columns.index("text"), len(docs.columns)
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns, names = list(b.columns[:-1]), b.schema.names[:-1]
+            columns, kept = list(b.columns[:width]), b.schema.names[:width]
             texts = columns[at].to_pylist()
             sizes = columns[count].to_pylist() if count is not None else []
-            for k, found in enumerate(b.column(len(columns)).to_pylist()):
-                if found:
-                    texts[k] = rest_of(texts[k].encode("utf-8", "surrogatepass"), removed_runs(found)).decode("utf-8", "ignore")
+            for k, found in enumerate(zip(*(c.to_pylist() for c in b.columns[width:]), strict=True)):
+                if any(found):
+                    data = texts[k].encode("utf-8", "surrogatepass")
+                    runs = removed_runs(found[0] or [])
+                    if least_words is not None:
+                        runs = joined_runs(runs + bytes_of_words(data, removed_runs(found[1] or [], least_words)))
+                    texts[k] = rest_of(data, runs).decode("utf-8", "ignore")
                     if sizes:
                         sizes[k] = len(texts[k])
             columns[at] = pa.array(texts, pa.string())
             if sizes:
                 columns[count] = pa.array(sizes, columns[count].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=kept)
 
     return rows.mapInArrow(run, docs.schema)
 
