@@ -24,53 +24,76 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, stored, with_row
+from .common import ROW, numbered, stored
 
 CAPACITY = 4096
 END_ID = 2
 #: Words whose ids a task keeps at hand.
 CACHED = 500_000
+#: The vocabulary's pattern for what one run of characters is.
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters that are one letter, digit or sign in any version of Unicode and stay themselves when composed:
+#: ASCII and Latin, but for the capital I with a dot, which is two characters in lower case.
+_PLAIN = "[!-~\u00a1-\u012f\u0131-\u024f]+"
 #: Cut pieces that are broadcast (about 60 bytes each); more meet their texts in a shuffled join.
 BROADCAST_PIECES = 50_000
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it's printable, else the next
+    free one from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(256, 512))
+    return [chr(b if b in own else next(free)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+
+
 class WordIds(dict):
     """Ids of white-space separated words as little-endian 32-bit bytes. The vocabulary drops white
-    space and never joins across it, so a text's ids are those of its words in turn."""
+    space and never joins across it, so a text's ids are those of its words in turn.
+
+    Words of Latin letters, digits and signs are cut into runs here (`_RUNS`, the vocabulary's own pattern)
+    and each distinct run meets the model once; any other word goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-
-    def add(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHED:
+        self.model = self.tokenizer.model
+        self.plain = regex.compile(_PLAIN)
+        self.cut = regex.compile(_RUNS).findall
+        self.runs: dict[str, bytes] = {}
+
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            spelt = run if run.isascii() else "".join(map(_LETTERS.__getitem__, run.encode()))
+            ids = self.runs[run] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHED:
             self.clear()
-            new = list(words)
-        for k in range(0, len(new), 2_000):
-            part = new[k : k + 2_000]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            # Which word each id came from, by where it starts in the joined text.
-            begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-            ids = np.array(e.ids, "<u4")
-            cuts = np.searchsorted(np.array([at for at, _ in e.offsets], np.int64), begins).tolist()
-            for w, x, y in zip(part, cuts[:-1], cuts[1:], strict=True):
-                self[w] = ids[x:y].tobytes()
+            self.runs.clear()
+        text = word.decode("utf-8", "replace")
+        if self.plain.fullmatch(text) and "<|" not in text:
+            low = text.lower()
+            ids = self._run(low) if low.isascii() and low.isalpha() else b"".join(map(self._run, self.cut(low)))
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def ids(self, text: str | None) -> bytes:
-        words, out = (text or "").encode("utf-8", "surrogatepass").split(), []
-        for k in range(0, len(words), CACHED // 2):
-            part = words[k : k + CACHED // 2]
-            self.add(set(part))
-            out.append(b"".join(map(self.__getitem__, part)))
-        return b"".join(out) + END_ID.to_bytes(4, "little")
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        return b"".join(map(self.__getitem__, words)) + END_ID.to_bytes(4, "little")
 
 
 def tokenized(docs: DataFrame, vocabulary: str, bucket_rows: int = 2_000) -> DataFrame:
@@ -209,7 +232,7 @@ _PIECE = f"{ROW} long, doc_id long, start long, length long, ids_crc32 long, doc
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """documents -> pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
-    rows = with_row(docs.select("doc_id", "text"))
+    rows = numbered(docs.select("doc_id", "text"), tag="packing-rows")
     items = stored(tokenized(rows, vocabulary), "packing-items")
     counts = items.groupBy("bucket", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
