@@ -1,45 +1,49 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Tokens are words, and one end for each text. Every token's count comes from the training texts of
-the whole table. The model adds every bigram and trigram that the training texts have at least `LEAST`
-times, whatever the size of the corpus, so it grows with the corpus; no process holds all of it.
-N-grams are known by 64-bit hashes.
-
-Texts come in buckets (`BUCKET` consecutive rows). Each asks once for each word and n-gram it has, with
-its own training counts; sums of these by hash are the model's counts, and go back to the buckets that
-asked. There they become the part of the trie that the bucket needs. A frequent word or n-gram
-costs a row a bucket.
-
-A level of the trie is the sorted sequence of parent * words + word, an Elias-Fano code of high bits
-in unary and low bits in an array; words are numbered by hash, and successors of a context are
-looked up relative to it, by the code's select and a search among equal high bits. Each n-gram has
-a quantised discounted probability, each context a quantised weight of the order below:
-P(w | c) = high(c w) + rest(c) P(w | shorter c), down to (count + 1) / (N + V + 1). Levels are flat buffers
-that map from a file as they are.
+Tokens are words, and one end for each text. Every token, bigram and trigram of the training texts of the
+whole table counts, so the model grows with the corpus; no process holds all of it. N-grams are known by
+56-bit hashes, words by 64-bit ones.
+
+Texts are read once and stored as buckets of about `BUCKET` tokens: the bucket's words by hash, and its
+texts as numbers of words. Each bucket asks once for each word and n-gram that it has, with its own training
+counts; asks are dealt by hash, as sorted sequences in Elias-Fano manner (low bits in an array, high bits as
+gaps), and summed. The answers, counts in the order of the asks, go back to the bucket, and there they are
+the part of the model's trie that the bucket needs. A frequent word or n-gram costs an ask a bucket.
+
+The trie: a level holds the last words of its n-grams, sorted by context; a monotone sequence of pointers,
+Elias-Fano coded, says where each context's successors begin, and a word is searched among these alone. Each
+n-gram has a quantised smoothed probability, each context a quantised weight of the order below:
+P(w | c) = high(c w) + rest(c) P(w | shorter c), where high = n(c w) / (n(c) + PRIOR) and
+rest = PRIOR / (n(c) + PRIOR), down to (count + 1) / (N + V + 1). Levels are written to one work file of the
+task and mapped from it.
 
 Null texts are empty: the end token alone. Null ids aren't learnt from. Repeated rows count twice.
-An empty table gives no rows.
+An empty table gives no rows. A very long text is a bucket of its own.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import tempfile
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, held_out, stored, with_row
+from .common import held_out, stored
 
 MOD, REST = 7, 2
-BUCKET = 4096
-LEAST, DISCOUNT = 2, 0.5
+BUCKET = 4_000_000
+#: Tokens that the order below is worth in each context, for bigrams and trigrams: of a grid, the best by
+#: leave-one-out likelihood on the 0.1 tables (-3.18 a token; -3.64 with 4 and 2; words alone -4.12).
+PRIOR = (1000.0, 2.0)
 END = b"\n"  # no word has white space
 LEVELS = 255
+BITS = 56
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -47,304 +51,366 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def word_hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def gram_hash(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hash of an n-gram from its context's hash and its last word's."""
+    x = parent * np.uint64(0x9E3779B97F4A7C15) + word
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(33))
+
+
+# --- sorted sequences ---
 
 
 class EliasFano:
-    """A sorted sequence of distinct integers in flat buffers."""
+    """A sorted sequence of integers in flat buffers: low bits in an array, high bits in unary."""
 
     def __init__(self, values: np.ndarray, universe: int):
         self.n = len(values)
-        self.low_bits = max(0, int(universe // max(1, self.n)).bit_length() - 1)
-        kind = next(k for k, bits in (("<u1", 8), ("<u2", 16), ("<u4", 32), ("<u8", 64)) if self.low_bits <= bits)
+        self.low_bits = min(32, max(0, int(universe // max(1, self.n)).bit_length() - 1))
+        kind = "<u1" if self.low_bits <= 8 else "<u2" if self.low_bits <= 16 else "<u4"
         values = values.astype(np.uint64)
         self.low = (values & np.uint64((1 << self.low_bits) - 1)).astype(kind)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        self.buckets = int(universe >> self.low_bits) + 1
-        bits = np.zeros((self.n + self.buckets + 63) // 64 * 64, np.uint8)
+        bits = np.zeros(self.n + int(universe >> self.low_bits) + 1, np.uint8)
         bits[high + np.arange(self.n)] = 1
-        bits[self.n + self.buckets :] = 1
-        self.words = np.packbits(bits, bitorder="little").view("<u8")
-        #: Zeros before each word of the unary part.
-        self.zeros = np.concatenate(([0], np.cumsum(64 - np.bitwise_count(self.words).astype(np.int64)))).astype(np.int64)
-
-    def _select0(self, k: np.ndarray) -> np.ndarray:
-        """Position of zero number k (from 0)."""
-        at = np.searchsorted(self.zeros, k, side="right") - 1
-        rest = k - self.zeros[at]
-        word = ~self.words[at]
-        out = at * 64
-        for size in (32, 16, 8, 4, 2, 1):
-            inside = np.bitwise_count(word & np.uint64((1 << size) - 1)).astype(np.int64)
-            over = rest >= inside
-            rest = np.where(over, rest - inside, rest)
-            out = out + np.where(over, size, 0)
-            word = np.where(over, word >> np.uint64(size), word)
-        return out
+        self.high = np.packbits(bits, bitorder="little")
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each value of x, -1 if it isn't there."""
-        out = np.full(len(x), -1, np.int64)
-        if not self.n:
-            return out
-        high, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
-        begin = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - np.maximum(high - 1, 0), 0)
-        end = self._select0(high) - high
-        lo, hi = begin.copy(), end.copy()
-        while (more := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = more & (self.low[np.minimum(mid, self.n - 1)] < low)
-            lo, hi = np.where(less, mid + 1, lo), np.where(more & ~less, mid, hi)
-        ok = (lo < end) & (self.low[np.minimum(lo, self.n - 1)] == low)
-        out[ok] = lo[ok]
-        return out
+    @property
+    def buffers(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.low, self.high
 
+    def decode(self) -> np.ndarray:
+        """All values in order."""
+        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
+        return (high.astype(np.int64) << self.low_bits) | self.low.astype(np.int64)
 
-def quantised(p: np.ndarray) -> np.ndarray:
-    """Shares in (0, 1] as bytes on a log scale; 0 stays 0."""
-    return np.where(p > 0, np.clip(np.rint(LEVELS + np.log10(np.maximum(p, 1e-12)) * (LEVELS - 1) / 8), 1, LEVELS), 0).astype(np.uint8)
 
+def sorted_bytes(values: np.ndarray) -> bytes:
+    """Sorted integers as 32 low bits each, and the gaps of what is above."""
+    gaps = np.diff(values >> np.uint64(32), prepend=np.uint64(0))
+    kind = next(k for k, top in ((1, 1 << 8), (2, 1 << 16), (4, 1 << 32)) if not len(gaps) or int(gaps.max()) < top)
+    head = np.array([len(values), kind], "<u4").tobytes()
+    return head + (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + zlib.compress(gaps.astype(f"<u{kind}").tobytes(), 1)
 
-CODE = np.concatenate(([0.0], 10.0 ** ((np.arange(1, LEVELS + 1) - LEVELS) * 8 / (LEVELS - 1))))
 
+def sorted_values(data: bytes) -> np.ndarray:
+    n, kind = np.frombuffer(data, "<u4", 2).tolist()
+    gaps = np.frombuffer(zlib.decompress(memoryview(data)[8 + 4 * n :]), f"<u{kind}").astype(np.uint64)
+    return (np.cumsum(gaps, dtype=np.uint64) << np.uint64(32)) | np.frombuffer(data, "<u4", n, 8).astype(np.uint64)
 
-@dataclass
-class Trie:
-    vocabulary: np.ndarray  # sorted hashes of the words
-    counts: np.ndarray  # their counts
-    levels: list[EliasFano] = field(default_factory=list)
-    high: list[np.ndarray] = field(default_factory=list)  # quantised probability of each n-gram
-    rest: list[np.ndarray] = field(default_factory=list)  # by context: words, then each level but the last
-    sizes: list[np.ndarray] = field(default_factory=list)  # counts of the last level's n-grams
 
-    @property
-    def width(self) -> int:
-        return max(1, len(self.vocabulary))
-
-    def add(self, keys: np.ndarray, counts: np.ndarray, kept: np.ndarray | None = None) -> None:
-        """One more level from sorted keys parent * width + word and their counts. kept: by context, the
-        share of all its n-grams, if this trie doesn't have all."""
-        context = self.sizes[-1] if self.sizes else self.counts
-        parent = keys // self.width
-        share = (counts - DISCOUNT) / context[parent] if len(keys) else np.zeros(0)
-        self.high.append(quantised(share))
-        if kept is None:
-            kept = np.bincount(parent, CODE[self.high[-1]], minlength=len(context)) if len(keys) else np.zeros(len(context))
-        self.rest.append(quantised(np.clip(1 - kept, 1e-6, 1.0)))
-        self.levels.append(EliasFano(keys, len(context) * self.width))
-        self.sizes.append(counts)
-
-    def nodes(self, ids: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-        """For each order from 2 on, the node of the n-gram that ends at each position, or -1. start: position
-        of its text's first token."""
-        found, parent = [], ids
-        for order, level in enumerate(self.levels, 2):
-            node = np.full(len(ids), -1, np.int64)
-            at = np.flatnonzero((parent[:-1] >= 0) & (ids[1:] >= 0) & (np.arange(1, len(ids)) - order + 1 >= start[1:])) + 1
-            node[at] = level.find(parent[at - 1] * self.width + ids[at])
-            found.append(node)
-            parent = node
-        return found
-
-    def probabilities(self, ids: np.ndarray, start: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """P of each token given those before it; base: its probability without context."""
-        p, context = base, ids
-        for order, (node, high, rest) in enumerate(zip(self.nodes(ids, start), self.high, self.rest, strict=True), 2):
-            before = np.concatenate(([-1], context[:-1]))
-            before[np.arange(len(ids)) - order + 1 < start] = -1
-            has = before >= 0
-            weight = np.where(has, CODE[rest[np.maximum(before, 0)]] if len(rest) else 1.0, 1.0)
-            own = np.where(node >= 0, CODE[high[np.maximum(node, 0)]] if len(high) else 0.0, 0.0)
-            p = np.where(has, own + weight * p, p)
-            context = node
-        return p
+def count_bytes(counts: np.ndarray) -> bytes:
+    """Counts, of which most are small."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return np.array([len(counts)], "<u4").tobytes() + zlib.compress(small.tobytes() + counts[small == 255].astype("<i8").tobytes(), 1)
+
+
+def count_values(data: bytes) -> np.ndarray:
+    n, plain = int(np.frombuffer(data, "<u4", 1)[0]), zlib.decompress(memoryview(data)[4:])
+    out = np.frombuffer(plain, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(plain, "<i8", -1, n)
+    return out
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(__row, learn, text) -> (bucket, h, n): words of each bucket with their training counts."""
-    bucket, learnt, other = None, Counter(), set()
+# --- buckets ---
+
+_BUCKET = "bucket long, held binary, lengths binary, vocabulary binary, ids binary"
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(doc_id, held, learn, text) -> a row a bucket: its texts' ids, flags (1 held out, 2 learnt from) and lengths,
+    its words' hashes in order, and each token's place among these."""
+    task, number = TaskContext.get().partitionId(), 0
+    docs: list = []
+    flags: list[int] = []
+    lengths: list[int] = []
+    numbers: dict[bytes, int] = {}
+    parts: list[np.ndarray] = []
+    size = 0
 
     def out() -> pa.RecordBatch:
-        words = [*learnt, *(w for w in other if w not in learnt)]
-        h = np.fromiter(map(word_hash, words), np.int64, len(words))
-        n = np.zeros(len(words), np.int64)
-        n[: len(learnt)] = np.fromiter(learnt.values(), np.int64, len(learnt))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), bucket, np.int64)), pa.array(h), pa.array(n)], names=["bucket", "h", "n"])
+        nonlocal number
+        h = np.fromiter(map(word_hash, numbers), np.uint64, len(numbers))
+        order = np.argsort(h)
+        place = np.empty(len(h), np.uint32)
+        place[order] = np.arange(len(h), dtype=np.uint32)
+        number += 1
+        values = [[(task << 32) | (number - 1)], [docs], [bytes(flags)], [np.array(lengths, "<u4").tobytes()], [h[order].tobytes()], [place[np.concatenate(parts)].tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     for b in batches:
-        for row, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            if row // BUCKET != bucket:
-                if bucket is not None:
-                    yield out()
-                bucket, learnt, other = row // BUCKET, Counter(), set()
-            words = tokens(text.as_py())
-            if learn:
-                learnt.update(words)
-            else:
-                other.update(words)
-    if bucket is not None:
+        for doc_id, held, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            own = tokens(text.as_py())
+            if size and size + len(own) > BUCKET:
+                yield out()
+                docs, flags, lengths, numbers, parts, size = [], [], [], {}, [], 0
+            add = numbers.setdefault
+            parts.append(np.fromiter([add(w, len(numbers)) for w in own], np.uint32, len(own)))
+            docs.append(doc_id)
+            flags.append(bool(held) + 2 * bool(learn))
+            lengths.append(len(own))
+            size += len(own)
+    if size:
         yield out()
 
 
-def gram_hash(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of an n-gram from its context's hash and its last word's."""
-    x = parent.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
-    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(33))).view(np.int64)
+class Bucket:
+    """A stored bucket's texts."""
 
+    def __init__(self, held: bytes, lengths: bytes, vocabulary: bytes, ids: bytes):
+        flags = np.frombuffer(held, np.uint8)
+        self.held, self.lengths = (flags & 1).astype(bool), np.frombuffer(lengths, "<u4").astype(np.int64)
+        self.vocabulary, self.ids = np.frombuffer(vocabulary, "<u8"), np.frombuffer(ids, "<u4").astype(np.int64)
+        self.first = np.cumsum(np.append(0, self.lengths[:-1])) if len(self.lengths) else self.lengths
+        self.learn = np.repeat(flags >> 1, self.lengths).astype(bool)
+        start = np.repeat(self.first, self.lengths)
+        at = np.arange(len(self.ids))
+        #: Places that have one token before them in their text, and those that have two.
+        self.two, self.three = np.flatnonzero(at - 1 >= start), np.flatnonzero(at - 2 >= start)
 
-class Hashes(dict):
-    """Word -> hash."""
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the bigrams that end at each place of `two`, and of the trigrams of `three`."""
+        h = self.vocabulary[self.ids]
+        pair = np.zeros(len(h), np.uint64)
+        pair[self.two] = gram_hash(h[self.two - 1], h[self.two])
+        triple = gram_hash(pair[self.three - 1], h[self.three])
+        cut = np.uint64(64 - BITS)
+        return pair[self.two] >> cut, triple >> cut
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = word_hash(word)
-        return out
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """All n-grams, distinct and sorted, and how often each occurs in training texts."""
+        two, three = self.grams()
+        learn = np.concatenate((self.learn[self.two], self.learn[self.three])).astype(np.uint64)
+        both = np.sort((np.concatenate((two, three)) << np.uint64(1)) | learn)
+        keys = both >> np.uint64(1)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.add.reduceat((both & np.uint64(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
-def _streams(texts: Iterator[str | None], size: int = 1_000_000) -> Iterator[tuple[list[bytes], list[int]]]:
-    """Token lists of several texts at a time, and the number of tokens of each."""
-    words: list[bytes] = []
-    lengths: list[int] = []
-    for t in texts:
-        own = tokens(t)
-        words += own
-        lengths.append(len(own))
-        if len(words) >= size:
-            yield words, lengths
-            words, lengths = [], []
-    if lengths:
-        yield words, lengths
+# --- asks and answers ---
 
+_ASK = "part long, bucket long, words binary, word_counts binary, grams binary, gram_counts binary"
+_ANSWER = "part long, bucket long, words binary, grams binary, kinds long, total long"
 
-def _starts(lengths: list[int]) -> np.ndarray:
-    return np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
 
+def _cuts(values: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where each part of a sorted sequence begins; parts go by the highest bits."""
+    edges = np.arange(1, parts, dtype=np.uint64) << np.uint64(bits - parts.bit_length() + 1)
+    return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
 
-def _asked_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(__row, learn, text) -> (bucket, parent, key, n): n-grams of each bucket with their contexts and
-    training counts. A bucket of many tokens may ask twice."""
-    cache = Hashes()
-    bucket, words, lengths, learns = None, [], [], []
-
-    def out() -> pa.RecordBatch:
-        h, start = np.fromiter(map(cache.__getitem__, words), np.int64, len(words)), _starts(lengths)
-        learn, place = np.repeat(np.array(learns, bool), lengths), np.arange(len(words))
-        two, three = np.flatnonzero(place - 1 >= start), np.flatnonzero(place - 2 >= start)
-        pair = np.zeros(len(words), np.int64)
-        pair[two] = gram_hash(h[two - 1], h[two])
-        parent = np.concatenate((h[two - 1], pair[three - 1]))
-        key, first, which = np.unique(np.concatenate((pair[two], gram_hash(pair[three - 1], h[three]))), return_index=True, return_inverse=True)
-        n = np.bincount(which, np.concatenate((learn[two], learn[three])), minlength=len(key)).astype(np.int64)
-        order = np.argsort(parent[first])  # equal contexts side by side shrink when compressed
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), bucket, np.int64)), pa.array(parent[first][order]), pa.array(key[order]), pa.array(n[order])], names=["bucket", "parent", "key", "n"])
 
+def _asks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for row, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            if lengths and (row // BUCKET != bucket or len(words) >= 1_000_000):
-                yield out()
-                words, lengths, learns = [], [], []
-            bucket = row // BUCKET
-            own = tokens(text.as_py())
-            words += own
-            lengths.append(len(own))
-            learns.append(bool(learn))
-    if lengths:
-        yield out()
+        for bucket, *fields in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own = Bucket(*fields)
+            words, n_words = own.vocabulary, np.bincount(own.ids[own.learn], minlength=len(own.vocabulary))
+            grams, n_grams = own.asked()
+            w, g = _cuts(words, 64, parts), _cuts(grams, BITS, parts)
+            out: list[list] = [[] for _ in range(6)]
+            for p in range(parts):
+                if w[p] < w[p + 1] or g[p] < g[p + 1]:
+                    rows = (p, bucket, sorted_bytes(words[w[p] : w[p + 1]]), count_bytes(n_words[w[p] : w[p + 1]]), sorted_bytes(grams[g[p] : g[p + 1]]), count_bytes(n_grams[g[p] : g[p + 1]]))
+                    for column, value in zip(out, rows, strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["part", "bucket", "words", "word_counts", "grams", "gram_counts"])
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each ask's total over all that ask the same, and the totals of the distinct ones."""
+    sizes = [len(k) for k in keys]
+    every, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(every, kind="stable")
+    s = every[order]
+    new = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
+    back = np.empty(len(every), np.int64)
+    back[order] = total[np.cumsum(new) - 1]
+    return np.split(back, np.cumsum(sizes)[:-1]), total
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Asks sorted by part -> their answers; the first of each part also says how many words training texts have there."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        words, types = _summed([sorted_values(r[2]) for r in rows], [count_values(r[3]) for r in rows])
+        grams, _ = _summed([sorted_values(r[4]) for r in rows], [count_values(r[5]) for r in rows])
+        kinds, totals = [0] * len(rows), [0] * len(rows)
+        kinds[0], totals[0] = int((types > 0).sum()), int(types.sum())
+        columns = [[r[0] for r in rows], [r[1] for r in rows], list(map(count_bytes, words)), list(map(count_bytes, grams)), kinds, totals]
+        types_ = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types_, strict=True)], names=["part", "bucket", "words", "grams", "kinds", "total"])
+
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                yield out(held)
+                held = []
+            held.append(row)
+    if held:
+        yield out(held)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, parent, key, n) sorted by key -> (bucket, parent, key, c): each row with its key's
-    count, where that is `LEAST` or more."""
-    held = [np.zeros(0, np.int64)] * 4
+# --- the trie ---
 
-    def out(rows: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, parent, key, n = rows
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        c = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(key)))) if len(key) else n
-        ok = c >= LEAST
-        return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (bucket, parent, key, c)], names=["bucket", "parent", "key", "c"])
 
-    for b in batches:
-        if b.num_rows:
-            held = [np.concatenate((x, c.to_numpy())) for x, c in zip(held, b.columns, strict=True)]
-            end = int(np.searchsorted(held[2], held[2][-1]))  # the last key may go on
-            yield out([x[:end] for x in held])
-            held = [x[end:] for x in held]
-    yield out(held)
-
-
-def local_trie(ids: np.ndarray, start: np.ndarray, vocabulary: np.ndarray, look) -> Trie:
-    """The part of the model's trie under the n-grams of some texts. look: hashes -> their (count, count
-    of the n-grams that follow, number of these), zero where the model has none."""
-    count, after, kinds = look(vocabulary)
-    trie, place = Trie(vocabulary, count), np.arange(len(ids))
-    hashes, node = vocabulary, ids
-    for order in (2, 3):
-        at = np.flatnonzero((node[:-1] >= 0) & (place[1:] - order + 1 >= start[1:])) + 1
-        keys = np.unique(node[at - 1] * trie.width + ids[at])
-        own = gram_hash(hashes[keys // trie.width], vocabulary[keys % trie.width])
-        found = look(own)
-        has = found[0] >= LEAST
-        share = np.where(kinds > 0, (after - DISCOUNT * kinds) / np.maximum(count, 1), 0.0)
-        keys, hashes, (count, after, kinds) = keys[has], own[has], (x[has] for x in found)
-        trie.add(keys, count, share)
-        node = trie.nodes(ids, start)[-1]
-    return trie
+def quantised(p: np.ndarray) -> np.ndarray:
+    """Shares in (0, 1] as bytes on a log scale; 0 stays 0."""
+    return np.where(p > 0, np.clip(np.rint(LEVELS + np.log10(np.maximum(p, 1e-12)) * (LEVELS - 1) / 8), 1, LEVELS), 0).astype(np.uint8)
+
+
+CODE = np.concatenate(([0.0], 10.0 ** ((np.arange(1, LEVELS + 1) - LEVELS) * 8 / (LEVELS - 1))))
+
+
+class Level:
+    """The n-grams of one order: successors of each context, sorted, and where each context's begin."""
+
+    def __init__(self, parents: int, parent: np.ndarray, word: np.ndarray, high: np.ndarray, rest: np.ndarray, file):
+        pointers = EliasFano(np.searchsorted(parent, np.arange(parents + 1)), len(parent) + 1)
+        self.parents, self.n, self.low_bits = parents, len(parent), pointers.low_bits
+        self.parts = []
+        for array in (*pointers.buffers, word.astype("<u4"), high, rest):
+            at = (file.tell() + 7) // 8 * 8
+            file.seek(at)
+            file.write(np.ascontiguousarray(array).tobytes())
+            self.parts.append((at, array.dtype if array is not word else np.dtype("<u4"), len(array)))
+
+    def mapped(self, path: str) -> None:
+        """From here on the buffers come from the file."""
+        low, high_bits, self.word, self.high, self.rest = (np.asarray(np.memmap(path, dtype, "r", at, n)) if n else np.zeros(0, dtype) for at, dtype, n in self.parts)
+        pointers = EliasFano.__new__(EliasFano)
+        pointers.n, pointers.low_bits, pointers.low, pointers.high = self.parents + 1, self.low_bits, low, high_bits
+        self.begin = pointers.decode()
+
+    def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The node of each (context, word), -1 where the context has no such successor."""
+        out = np.full(len(parent), -1, np.int64)
+        if not self.n:
+            return out
+        lo, hi = self.begin[parent], self.begin[parent + 1]
+        open_ = np.flatnonzero(lo < hi)
+        lo, hi, asked = lo[open_], hi[open_], word[open_]
+        while len(open_):
+            mid = (lo + hi) >> 1
+            there = self.word[mid]
+            hit = there == asked
+            out[open_[hit]] = mid[hit]
+            less = there < asked
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            more = np.flatnonzero((lo < hi) & ~hit)
+            open_, lo, hi, asked = open_[more], lo[more], hi[more], asked[more]
+        return out
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's place among the sorted distinct ones, and where each of these occurs once."""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return place, order[new]
+
+
+def build(own: Bucket, words: np.ndarray, grams: np.ndarray) -> list[tuple]:
+    """What the levels of a bucket's trie hold, (contexts, context, word, high, rest of each context) an order, from
+    the counts of its words and of its n-grams in the order of `asked`."""
+    hashes = np.concatenate(own.grams())
+    counts = grams[_places(hashes)[0]]
+    width = np.int64(max(1, len(own.vocabulary)))
+    levels, context, parent = [], words, own.ids
+    for prior, places, count in zip(PRIOR, (own.two, own.three), (counts[: len(own.two)], counts[len(own.two) :]), strict=True):
+        # Where the context isn't known, nothing that follows it is.
+        known = np.flatnonzero((parent[places - 1] >= 0) & (count > 0))
+        at = places[known]
+        keys = parent[at - 1] * width + own.ids[at]
+        node, first = _places(keys)
+        n, keys = count[known][first], keys[first]
+        levels.append((len(context), keys // width, keys % width, quantised(n / (context[keys // width] + prior)), quantised(prior / (context + prior))))
+        parent = np.full(len(own.ids), -1, np.int64)
+        parent[at] = node
+        context = n
+    return levels
+
+
+class Trie:
+    """A bucket's part of the model, its levels mapped from a work file of the task."""
+
+    def __init__(self, levels: list[tuple], folder: str | None = None):
+        self.file = tempfile.NamedTemporaryFile(dir=folder)  # noqa: SIM115
+        self.levels = [Level(*x, self.file) for x in levels]
+        self.file.flush()
+        for level in self.levels:
+            level.mapped(self.file.name)
+
+    def close(self) -> None:
+        self.levels = []
+        self.file.close()
+
+    def probabilities(self, own: Bucket, base: np.ndarray) -> np.ndarray:
+        """P of each token given those before it; base: its probability without context."""
+        p, context = base.copy(), own.ids
+        for places, level in zip((own.two, own.three), self.levels, strict=True):
+            before = context[places - 1]
+            at = places[before >= 0]
+            before = before[before >= 0]
+            node = level.find(before, own.ids[at])
+            own_part = np.where(node >= 0, CODE[level.high[np.maximum(node, 0)]] if level.n else 0.0, 0.0)
+            p[at] = own_part + CODE[level.rest[before]] * p[at]
+            context = np.full(len(own.ids), -1, np.int64)
+            context[at] = node
+        return p
+
+
+# --- scoring ---
+
+
+def parts_of(buckets: int) -> int:
+    """Parts that asks are dealt into: a power of two that grows with the square root of the buckets, so that both
+    an ask's pieces and the asks of one part stay of moderate size."""
+    return 1 << max(8, int(np.ceil(np.log2(128 * max(1, buckets) ** 0.5))))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    rows = with_row(docs.select("doc_id", "text")).select(ROW, "doc_id", held_out("doc_id", MOD, REST).alias("held_out"), "text")
-    learns = F.col("doc_id").isNotNull() & ~F.col("held_out")
-    marked = rows.select(ROW, learns.alias("learn"), "text")
-    asked = stored(marked.mapInArrow(_asked, "bucket long, h long, n long"), "lm-asked")
-    counts = stored(asked.groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
-    total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_all, n_types = total["n"], total["v"]
-    dealt = marked.mapInArrow(_asked_grams, "bucket long, parent long, key long, n long").repartition("key").sortWithinPartitions("key")
-    grams = stored(dealt.mapInArrow(_counted, "bucket long, parent long, key long, c long"), "lm-grams")
-    each = grams.groupBy("key").agg(F.min("parent").alias("parent"), F.min("c").alias("c"))
-    contexts = stored(each.groupBy("parent").agg(F.sum("c").alias("after"), F.count("*").alias("kinds")).withColumnRenamed("parent", "key"), "lm-contexts")
-
-    def whole(df: DataFrame) -> DataFrame:
-        return df.join(contexts, "key", "left").select(*df.columns, F.coalesce("after", F.lit(0)).alias("after"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
-
-    words = asked.select("bucket", F.col("h").alias("key")).join(whole(counts.withColumnRenamed("h", "key")), "key")
-    fields = ("bucket", "key", "c", "after", "kinds")
-    known = words.select(*fields).unionByName(whole(grams.select("bucket", "key", "c")).select(*fields))
-    base = float(n_all + n_types + 1)
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", held_out("doc_id", MOD, REST).alias("held_out"), "text")
+    rows = rows.select("doc_id", "held_out", (F.col("doc_id").isNotNull() & ~F.col("held_out")).alias("learn"), "text")
+    head, tail = _BUCKET.split(", ", 1)
+    ids = pa.array([], pa.int64()).type if kind in ("bigint", "long") else {"int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.string())
+    schema = pa.schema([("bucket", pa.int64()), ("docs", pa.list_(ids)), *((c, pa.binary()) for c in ("held", "lengths", "vocabulary", "ids"))])
+    buckets = stored(rows.mapInArrow(lambda b: _buckets(b, schema), f"{head}, docs array<{kind}>, {tail}"), "lm-buckets")
+    parts = parts_of(buckets.count())
+    texts = buckets.select("bucket", "held", "lengths", "vocabulary", "ids")
+    asks = texts.mapInArrow(lambda b: _asks(b, parts), _ASK).repartition("part").sortWithinPartitions("part")
+    answers = stored(asks.mapInArrow(_answers, _ANSWER), "lm-answers")
+    total = answers.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
+    n_all, base = total["n"], float(total["n"] + total["v"] + 1)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("key").to_numpy())
-        keys, *values = (right.column(c).to_numpy()[order] for c in fields[1:])
-
-        def look(h: np.ndarray) -> list[np.ndarray]:
-            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            return [np.where(keys[at] == h, v[at], 0) if len(keys) else np.zeros(len(h), np.int64) for v in values]
-
-        cache = Hashes()
-        out: list[list] = [[], [], [], []]
-        for words, lengths in _streams(t.as_py() for t in left.column("text")):
-            vocabulary, ids = np.unique(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)), return_inverse=True)
-            model = local_trie(ids, _starts(lengths), vocabulary, look)
-            c = model.counts[ids]
+        out: list[list] = [[] for _ in names]
+        right = right.sort_by("part")
+        words, grams = (np.concatenate([count_values(x.as_py()) for x in right.column(c)]) for c in ("words", "grams"))
+        for docs_, *fields in zip(*(left.column(c).to_pylist() for c in ("docs", "held", "lengths", "vocabulary", "ids")), strict=True):
+            own = Bucket(*fields)
+            trie = Trie(build(own, words, grams))
+            c = words[own.ids]
             p = (c + 1) / base
-            first = np.cumsum([0, *lengths[:-1]])
-            out[0] += lengths
-            out[1] += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
-            out[2] += np.add.reduceat(np.log10(p), first).tolist()
-            out[3] += np.add.reduceat(np.log10(model.probabilities(ids, _starts(lengths), p)), first).tolist()
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        columns = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
-        return pa.table([left.column("doc_id"), left.column("held_out"), *columns[:2], pa.array([n_all] * left.num_rows, pa.int64()), *columns[2:]], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    texts = rows.select(F.expr(f"{ROW} div {BUCKET}").alias("bucket"), "doc_id", "held_out", "text")
-    return texts.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, schema)
+            columns = [docs_, own.held, own.lengths, np.add.reduceat((c > 0).astype(np.int64), own.first), np.full(len(docs_), n_all), np.add.reduceat(np.log10(p), own.first), np.add.reduceat(np.log10(trie.probabilities(own, p)), own.first)]
+            trie.close()
+            for have, new in zip(out, columns, strict=True):
+                have.extend(new if isinstance(new, list) else new.tolist())
+        kinds = (ids, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+
+    made = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return buckets.groupBy("bucket").cogroup(answers.select("bucket", "part", "words", "grams").groupBy("bucket")).applyInArrow(run, made)
 
 
 def op10_lm(docs: DataFrame) -> DataFrame:
