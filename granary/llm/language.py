@@ -7,8 +7,7 @@ language of the nearest centroid by cosine is predicted, and a text further than
 centroids is flagged as rejected.
 
 Document frequencies are counted over all texts that may be learnt from. The clustering reads a
-sample of at most about `SAMPLE` of them for each language: those whose hashed id falls below the
-rate SAMPLE / count.
+sample of at most `SAMPLE` of them for each language: those with the lowest hashes of id and text.
 
 Null texts, and texts without a letter, get `und` and score 0. Null langs and ids are never learnt
 from, null langs are still predicted. With nothing to learn from all are `und`. Repeated rows are
@@ -23,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, learnable, stored
@@ -34,7 +33,18 @@ SAMPLE = 800
 REJECT = 0.1
 MOD, REST = 4, 2
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+
+
+def _numerals() -> str:
+    """Ranges of what Python's word characters hold beside letters and decimal digits: fractions, superscripts, Roman
+    and other numerals."""
+    found = [c for c in range(0x110000) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]
+    cuts = [0, *(k for k in range(1, len(found)) if found[k] != found[k - 1] + 1), len(found)]
+    return "".join(f"{chr(found[a])}-{chr(found[b - 1])}" for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+#: Everything but letters.
+_OTHER = re.compile(rf"[\W\d_{_numerals()}]+")
 #: Characters that are hashed at once: long texts go in pieces that share two characters.
 PIECE = 1 << 20
 
@@ -136,9 +146,13 @@ def fit(docs: DataFrame) -> Centroids:
     seen = {r["k"]: r["n"] for r in known.select("text").mapInArrow(_frequencies, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # DIM + 1 rows
     total = seen.get(DIM, 0)
     idf = np.array([np.log((1 + total) / (1 + seen.get(k, 0))) + 1 for k in range(DIM)], np.float32)
-    size = known.groupBy("lang").count().select("lang", (F.lit(float(SAMPLE)) / F.col("count")).alias("rate"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.join(F.broadcast(size), "lang").where(share < F.col("rate")).select("lang", "text")
+    # A rate first, so that few rows are ranked; then the bound itself.
+    size = known.groupBy("lang").count().select("lang", (F.lit(2.0 * SAMPLE + 50) / F.col("count")).alias("rate"))
+    hashed = F.xxhash64("doc_id", "text")
+    share = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
+    likely = known.join(F.broadcast(size), "lang").where(share < F.col("rate")).select("lang", "text", hashed.alias("h"))
+    best = Window.partitionBy("lang").orderBy("h")
+    chosen = likely.withColumn("k", F.row_number().over(best)).where(F.col("k") <= SAMPLE).select("lang", "text")
     rows = stored(chosen.mapInArrow(_sampled, "lang string, k binary, n binary"), "language-sample").orderBy("lang", "k", "n").collect()
     model = Centroids([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64))
     by_lang: dict[str, list[np.ndarray]] = {}

@@ -18,6 +18,7 @@ are scored alike. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -62,6 +63,17 @@ def fold(text: str) -> str:
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _inside(at: int, spans: list[tuple[int, int]], longest: int) -> bool:
+    """Whether any span holds `at`. Spans come in order of their ends and are `longest` characters at most, so few of
+    them are looked at, however long the text."""
+    k = bisect.bisect_left(spans, at, key=lambda s: s[1])
+    while k < len(spans) and spans[k][1] < at + longest:
+        if spans[k][0] <= at:
+            return True
+        k += 1
+    return False
+
+
 @dataclass
 class Lexicon:
     """terms: (folded term, whole word?) -> weight; phrases: folded exceptions; curve: bias, weight
@@ -107,7 +119,8 @@ class Lexicon:
                 else:
                     best[start] = max(best.get(start, 0.0), weight)
         if spans:
-            best = {at: w for at, w in best.items() if not any(a <= at <= b for a, b in spans)}
+            longest = max(map(len, self.phrases))
+            best = {at: w for at, w in best.items() if not _inside(at, spans, longest)}
         return sum(best.values())
 
     def curve_of(self, total: float, length: int) -> float:
