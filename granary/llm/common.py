@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Row handle added by the operators; it stays the same however often a file scan is run again.
+#: Row handle added by the operators; it is stored with the rows, so every reader sees the same one.
 ROW = "__row"
 
 
@@ -34,7 +34,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._granary_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_granary_path", None)
+        if path is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def free_name(df: DataFrame, name: str = ROW) -> str:
@@ -45,10 +56,10 @@ def free_name(df: DataFrame, name: str = ROW) -> str:
     return name
 
 
-def with_row(df: DataFrame, name: str = ROW) -> DataFrame:
-    """Number the rows of a stored table. The number depends on the file splits alone, so every
-    branch of a plan and every retried task sees the same one."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def numbered(df: DataFrame, name: str = ROW, tag: str = "rows") -> DataFrame:
+    """df with a number for each row, stored once. Numbers made by a scan depend on its splits, and these on
+    the executors of the moment; stored ones are the same for every job, retry and branch of a plan."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), tag)
 
 
 def window_hashes(items: Column, width: int) -> Column:
@@ -97,6 +108,7 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
     before = None
     while True:
+        last = e
         # u > v always. Large star: every neighbour above u goes to the smallest of u's neighbourhood.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -108,6 +120,7 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
             tag,
         )
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(

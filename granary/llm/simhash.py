@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, components, free_name, stored, with_row
+from .common import ROW, components, free_name, numbered, stored
 
 WIDTH, SEED, RADIUS = 4, 42, 4
 CHUNK = 2048
@@ -198,9 +198,11 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """documents -> (__row, doc_id, fp, component_id), one row for each row of docs."""
-    rows = with_row(docs.select("doc_id", "text")).select(ROW, "doc_id", "text")
+def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """documents -> (__row, doc_id, fp, component_id), one row for each row of docs. row: a column that numbers
+    the rows; without one they're numbered here, and the numbers are stored with the fingerprints."""
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(number.alias(ROW), F.col("doc_id").cast("long"), "text")
     fps = stored(rows.mapInArrow(_fingerprints, f"{ROW} long, doc_id long, fp long"), "simhash")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(nodes.select("fp")), "simhash-cc")
@@ -212,10 +214,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class stays, the one with the smallest id (the first of repeated rows)."""
-    found, row = near_duplicates(docs), free_name(docs)
+    row = free_name(docs)
+    rows = numbered(docs, row, "simhash-rows")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW)
-    keep = found.groupBy("root").agg(F.min(order).alias("least")).select(F.col(f"least.{ROW}").alias(row))
-    return with_row(docs, row).join(keep, row, "left_semi").drop(row)
+    keep = near_duplicates(rows, row).groupBy("root").agg(F.min(order).alias("least")).select(F.col(f"least.{ROW}").alias(row))
+    return rows.join(keep, row, "left_semi").drop(row)
 
 
 def op7_simhash(docs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, free_name, stored, with_row
+from .common import ROW, discard, free_name, numbered, stored
 
 SPAN, GRAM, STEP = 400, 32, 16
 WORD_GRAM = 8
@@ -280,17 +280,18 @@ def bytes_of_words(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs, and the spans of each row as the last column."""
-    rows = with_row(docs.select("text")).select(ROW, "text")
     row, found = free_name(docs), free_name(docs, "__spans")
-    named = spans(rows).select(F.col(ROW).alias(row), F.col("spans").alias(found))
-    return with_row(docs, row).join(named, row, "left").select(*(F.col(f"`{c}`") for c in docs.columns), found)
+    rows = numbered(docs, row, "suffix-rows")
+    named = spans(rows.select(F.col(f"`{row}`").alias(ROW), "text")).select(F.col(ROW).alias(row), F.col("spans").alias(found))
+    return rows.join(named, row, "left").select(*(F.col(f"`{c}`") for c in docs.columns), found)
 
 
 def remove_repeats(docs: DataFrame, least_words: int | None = None) -> DataFrame:
     """docs without the repeated bytes, and without passages of `least_words` words (8 or more) that repeat,
     however short. A character of which only part is left goes too; n_chars, if there, is counted anew."""
-    row, source = free_name(docs), with_row(docs.select("text")).select(ROW, "text")
-    rows, names = with_row(docs, row), []
+    row, names = free_name(docs), []
+    rows = numbered(docs, row, "suffix-rows")
+    source = rows.select(F.col(f"`{row}`").alias(ROW), "text")
     for units in [BYTES] if least_words is None else [BYTES, words(least_words)]:
         names.append(free_name(rows, f"__spans{len(names)}"))
         rows = rows.join(spans(source, units).select(F.col(ROW).alias(row), F.col("spans").alias(names[-1])), row, "left")

@@ -158,8 +158,7 @@ def test_transform_orders_suffixes():
 def test_packing(spark, tmp_path, small):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    rows = [*((i, t if t is None or len(t) < 10**5 else t[: 10**5]) for i, t in EDGES), (70, "it's we'll ﬁ ça é don't 12,3 <|endoftext|>  x y"), (71, "tok en " * 4095)]
+    rows = [*((i, t if t is None or len(t) < 10**5 else t[: 10**5]) for i, t in EDGES), (72, "a<|endoftext|>b <|startoftext|>"), (70, "it's we'll ﬁ ça é don't 12,3 <|endoftext|>  x y"), (71, "tok en " * 4095)]
     table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     rows += [(1000 + r.doc_id, r.text) for r in table.collect()]
     docs = documents(spark, tmp_path, rows)
@@ -209,10 +208,10 @@ def test_language(spark, tmp_path, medium):
     long = [r for r in rows if len(r.text) > 100]
     assert sum(r.lang == r.lang_pred for r in long) >= 0.97 * len(long)
     assert all(0 <= r.score <= 1 for r in rows)
-    edge = documents(spark, tmp_path, [*EDGES, (90, "123 !!"), (91, "the cat and the dog " * 9, "en"), (92, "le chat et le chien " * 9, "fr")])
+    edge = documents(spark, tmp_path, [*EDGES, (90, "123 !!"), (93, "½ ² Ⅷ ৪ _"), (91, "the cat and the dog " * 9, "en"), (92, "le chat et le chien " * 9, "fr")])
     got = by_id(language.op1_language(edge))
-    assert sum(map(len, got.values())) == len(EDGES) + 3
-    assert all(got[i][0].lang_pred == "und" and got[i][0].score == 0 for i in (1, 2, 3, 8, 90))
+    assert sum(map(len, got.values())) == len(EDGES) + 4
+    assert all(got[i][0].lang_pred == "und" and got[i][0].score == 0 for i in (1, 2, 3, 8, 90, 93))
     assert got[7][0].lang_pred in ("en", "fr")
     nothing = documents(spark, tmp_path, [(1, "the cat")], "nolang")
     assert language.op1_language(nothing).first().lang_pred == "und"
@@ -238,6 +237,10 @@ def test_lexicon_folds_and_excepts():
     assert x.total("You 1d10ts and Іdiоt") == 8.0
     assert x.total("a clown fish, a clown") == 2.0
     assert x.total("sidiot clowns") == 0.0 and x.total(None) == 0.0
+    r = random.Random(4)
+    long = " ".join(r.choice(("clown", "clown fish", "fish", "plain")) for _ in range(60_000))
+    alone = sum(1 for a, b in zip(long.split(), [*long.split()[1:], ""], strict=True) if a == "clown" and b != "fish")
+    assert x.total(long) == 2.0 * alone
 
 
 def plain_model(rows):
@@ -270,41 +273,42 @@ def test_language_model(spark, tmp_path, small):
 def test_elias_fano():
     r = np.random.default_rng(0)
     for n, top in ((0, 10), (1, 1), (5, 6), (1000, 5000), (1000, 10**12)):
-        values = np.unique(r.integers(0, top, n)) if n else np.zeros(0, np.int64)
-        code = lm.EliasFano(values, top)
-        asks = np.concatenate((values, r.integers(0, top, 300)))
-        where = {int(x): k for k, x in enumerate(values)}
-        assert code.find(asks.astype(np.int64)).tolist() == [where.get(int(x), -1) for x in asks]
+        values = np.sort(r.integers(0, top, n))
+        assert lm.EliasFano(values, top).decode().tolist() == values.tolist()
+        assert lm.sorted_values(lm.sorted_bytes(values.astype(np.uint64))).tolist() == values.tolist()
+    counts = np.array([0, 1, 254, 255, 256, 10**12, 3])
+    assert lm.count_values(lm.count_bytes(counts)).tolist() == counts.tolist()
 
 
-def test_model_is_a_distribution():
-    vocabulary = np.arange(4)
-    trie = lm.Trie(vocabulary, np.array([5, 4, 3, 2]))
-    trie.add(np.array([1, 4, 6, 9]), np.array([3, 2, 1, 2]))
-    base = np.array([0.4, 0.3, 0.2, 0.1])
-    for context in range(4):
-        total = sum(float(trie.probabilities(np.array([context, w]), np.array([0, 0]), np.array([base[context], base[w]]))[1]) for w in range(4))
-        assert total == pytest.approx(1, abs=0.08)
+def test_trie_search(tmp_path):
+    """Every context's successors, and only these, are found, in levels that are mapped from the work file."""
+    r = random.Random(1)
+    pairs = sorted({(r.randrange(50), r.randrange(30)) for _ in range(400)} - {(7, w) for w in range(30)})
+    parent, word = np.array(pairs).T
+    trie = lm.Trie([(50, parent, word, np.ones(len(pairs), np.uint8), np.ones(50, np.uint8))], str(tmp_path))
+    where = {p: k for k, p in enumerate(pairs)}
+    asks = [(a, b) for a in range(50) for b in range(31)]
+    assert trie.levels[0].find(*np.array(asks).T).tolist() == [where.get(x, -1) for x in asks]
+    assert list(tmp_path.iterdir())
+    trie.close()
+    assert not list(tmp_path.iterdir())
 
 
 def plain_scores(rows):
-    """log10 score of each text by a model of all n-grams that training texts have twice or more."""
+    """log10 score of each text by the same smoothing, from plain counts of all n-grams of training texts."""
     tokens = [[*SPACE.findall((t or "").lower().encode()), b"\n"] for _, t in rows]
     held = [i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
     counts = Counter(tuple(x[i : i + n]) for x, h in zip(tokens, held, strict=True) if not h for n in (1, 2, 3) for i in range(len(x) - n + 1))
     words = [g for g in counts if len(g) == 1]
     base = sum(counts[g] for g in words) + len(words) + 1
-    share = {g: (c - 0.5) / counts[g[:-1]] for g, c in counts.items() if len(g) > 1 and c >= 2}
-    kept = Counter()
-    for g, s in share.items():
-        kept[g[:-1]] += s
 
     def p(gram):
         if len(gram) == 1:
             return (counts[gram] + 1) / base
-        shorter = p(gram[1:])
-        return share.get(gram, 0) + (1 - kept[gram[:-1]]) * shorter if counts[gram[:-1]] >= 2 else shorter
+        prior = lm.PRIOR[len(gram) - 2]
+        return (counts[gram] + prior * p(gram[1:])) / (counts[gram[:-1]] + prior)
 
+    assert sum(p((*words[0][:1], *w)) for w in words) <= 1 + 1e-9  # what's left is for words never seen
     return [sum(math.log10(p(tuple(x[max(0, i - 2) : i + 1]))) for i in range(len(x))) for x in tokens]
 
 

@@ -123,12 +123,12 @@ def test_decontamination(spark, tmp_path):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t in texts if not plain_hits(t, items)[1])
     # Beyond the broadcast bound the same rows come from a shuffled join.
-    before = decontaminate.BROADCAST_WINDOWS
+    before = decontaminate.BROADCAST_BYTES
     try:
-        decontaminate.BROADCAST_WINDOWS = 0
+        decontaminate.BROADCAST_BYTES = 0
         shuffled = by_id(decontaminate.op8_decontaminate(docs, bench))
     finally:
-        decontaminate.BROADCAST_WINDOWS = before
+        decontaminate.BROADCAST_BYTES = before
     assert {k: sorted(v) for k, v in shuffled.items() if k} == {k: sorted(v) for k, v in found.items() if k}
 
 
