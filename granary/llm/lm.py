@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import held_out, stored
 
 MOD, REST = 7, 2
-BUCKET = 4_000_000
+BUCKET = 2_000_000
 #: Tokens that the order below is worth in each context, for bigrams and trigrams: of a grid, the best by
 #: leave-one-out likelihood on the 0.1 tables (-3.18 a token; -3.64 with 4 and 2; words alone -4.12).
 PRIOR = (1000.0, 2.0)
@@ -116,6 +116,17 @@ def count_values(data: bytes) -> np.ndarray:
     return out
 
 
+def plane_bytes(values: np.ndarray) -> bytes:
+    """Integers of which small ones are frequent: each byte of them compressed apart."""
+    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    return zlib.compress(np.ascontiguousarray(planes.T).tobytes(), 1)
+
+
+def plane_values(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
 # --- buckets ---
 
 _BUCKET = "bucket long, held binary, lengths binary, vocabulary binary, ids binary"
@@ -123,7 +134,7 @@ _BUCKET = "bucket long, held binary, lengths binary, vocabulary binary, ids bina
 
 def _buckets(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(doc_id, held, learn, text) -> a row a bucket: its texts' ids, flags (1 held out, 2 learnt from) and lengths,
-    its words' hashes in order, and each token's place among these."""
+    its words' hashes as they come up, and each token's number among these."""
     task, number = TaskContext.get().partitionId(), 0
     docs: list = []
     flags: list[int] = []
@@ -134,12 +145,9 @@ def _buckets(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
 
     def out() -> pa.RecordBatch:
         nonlocal number
-        h = np.fromiter(map(word_hash, numbers), np.uint64, len(numbers))
-        order = np.argsort(h)
-        place = np.empty(len(h), np.uint32)
-        place[order] = np.arange(len(h), dtype=np.uint32)
+        h = np.fromiter(map(word_hash, numbers), "<u8", len(numbers))
         number += 1
-        values = [[(task << 32) | (number - 1)], [docs], [bytes(flags)], [np.array(lengths, "<u4").tobytes()], [h[order].tobytes()], [place[np.concatenate(parts)].tobytes()]]
+        values = [[(task << 32) | (number - 1)], [docs], [bytes(flags)], [np.array(lengths, "<u4").tobytes()], [h.tobytes()], [plane_bytes(np.concatenate(parts))]]
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     for b in batches:
@@ -164,7 +172,12 @@ class Bucket:
     def __init__(self, held: bytes, lengths: bytes, vocabulary: bytes, ids: bytes):
         flags = np.frombuffer(held, np.uint8)
         self.held, self.lengths = (flags & 1).astype(bool), np.frombuffer(lengths, "<u4").astype(np.int64)
-        self.vocabulary, self.ids = np.frombuffer(vocabulary, "<u8"), np.frombuffer(ids, "<u4").astype(np.int64)
+        words = np.frombuffer(vocabulary, "<u8")
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        #: The words by hash, and each token's place among them.
+        self.vocabulary, self.ids = words[order], place[plane_values(ids)]
         self.first = np.cumsum(np.append(0, self.lengths[:-1])) if len(self.lengths) else self.lengths
         self.learn = np.repeat(flags >> 1, self.lengths).astype(bool)
         start = np.repeat(self.first, self.lengths)

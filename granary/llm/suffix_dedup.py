@@ -10,15 +10,17 @@ starts with one anchor:
    open: they lie at the edges of passages.
 2. Open groups are cut into steps of `STEP` starts at fixed distances from the anchor. The bytes
    common to a step's windows, if seen once, close the step; so do equal bytes under all of it.
-3. What is still open is decided window by window, by 128-bit hashes.
+3. What is still open, some steps at the edges of passages, is decided by the collection's Burrows-Wheeler
+   transform and common prefixes (`bwt`): windows of a step share a core, so its key stands for it, and
+   strings of few dozen bytes are left. They're built column by column, one symbol of each string a round,
+   through sequential files of the task. Marks with more than `COLLECTION` such strings, too many for one
+   collection, are decided by 128-bit hashes of their windows instead, with the same result.
 
 Counts of hashes are sums of partial counts, so no hash, however common, meets in one task; what
 a task sees of one hash leaves it as one row. Copies of a document or passage thus cost one row a task.
 
-The module `bwt` builds the collection's Burrows-Wheeler transform and common prefixes column
-by column through sequential files. Its rounds are as many as the longest text has symbols, each
-of them reading all files: on whole documents that is out of reach (see the README), so it serves
-small collections, where `repeated_starts` gives the same result.
+The transform's rounds are as many as the longest string has symbols, each of them reading all files; on
+whole documents that is out of reach (see the README).
 
 All of this holds for any `Units`: bytes in strings of `SPAN`, or words in strings of a number of words,
 where a unit is a word's 64-bit hash, so white space between words may differ.
@@ -39,9 +41,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bwt import repeated_starts
 from .common import ROW, discard, free_name, numbered, stored
 
 SPAN, GRAM, STEP = 400, 32, 16
+#: Strings of one collection.
+COLLECTION = 50_000
 WORD_GRAM = 8
 
 
@@ -156,9 +161,9 @@ def _find(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.Record
 _FOUND = f"{ROW} long, low long, high long, anchor long, mark long, whole long"
 
 
-def repeated(rows: DataFrame, column: str) -> DataFrame:
-    """The values of a hash column that more than one row has."""
-    return rows.groupBy(column).agg(F.count("*").alias("__n")).where("__n > 1").select(column)
+def repeated(rows: DataFrame, *columns: str) -> DataFrame:
+    """The values of some columns that more than one row has."""
+    return rows.groupBy(*columns).agg(F.count("*").alias("__n")).where("__n > 1").select(*columns)
 
 
 def spans(rows: DataFrame, units: Units = BYTES) -> DataFrame:
@@ -167,13 +172,16 @@ def spans(rows: DataFrame, units: Units = BYTES) -> DataFrame:
 
     def judged(found: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
         """Ranges that repeat whole, and those still open; with the latter goes one of each kind that
-        repeats whole and has the mark of an open one, as windows of open ranges may lie in it."""
-        marks = repeated(found, "mark")
-        wholes = repeated(found, "whole").withColumn("__w", F.lit(True))
-        seen = stored(found.join(marks, "mark").join(wholes, "whole", "left"), tag)
+        repeats whole and has the mark of an open one, as windows of open ranges may lie in it. Equal by both
+        hashes, 128 bits. The values that repeat are stored first: so both sides of a join are plain
+        shuffles, and a hot value's rows are split among tasks when the plan is adapted."""
+        marks = stored(repeated(found, "mark"), f"{tag}-marks")
+        wholes = stored(repeated(found, "mark", "whole").withColumn("__w", F.lit(True)), f"{tag}-wholes")
+        seen = stored(found.join(marks, "mark").join(wholes, ["mark", "whole"], "left"), tag)
+        discard(marks, wholes)
         known, open_ = seen.where("__w"), seen.where("__w is null").select(ROW, "low", "high", "anchor", "mark")
-        one = known.groupBy("whole").agg(F.min(F.struct(ROW, "low", "high", "anchor", "mark")).alias("r")).select("r.*")
-        both = open_.unionByName(one.join(open_.select("mark").distinct(), "mark", "left_semi"))
+        one = known.groupBy("mark", "whole").agg(F.min(F.struct(ROW, "low", "high", "anchor")).alias("r")).select("mark", "r.*")
+        both = open_.unionByName(one.join(stored(open_.select("mark").distinct(), f"{tag}-open"), "mark", "left_semi"))
         return known.select(ROW, "low", "high"), both.select(ROW, "low", "high", "anchor")
 
     def texts(open_: DataFrame) -> DataFrame:
@@ -187,9 +195,15 @@ def spans(rows: DataFrame, units: Units = BYTES) -> DataFrame:
     more, rest = judged(stored(steps, "suffix-steps"), "suffix-judged-steps")
     left = pieces.join(rest.withColumnsRenamed({"low": "from", "high": "to"}), [ROW, "anchor"]).where("`from` >= low and `to` <= high")
     single = left.select(ROW, F.col("from").alias("low"), F.col("to").alias("high"), "anchor", "data", F.col("low").alias("base"))
-    windows = stored(single.mapInArrow(lambda b: _open_windows(b, units), _FOUND), "suffix-windows")
-    twice = windows.groupBy("mark", "whole").agg(F.count("*").alias("__n")).where("__n > 1").select("mark", "whole")
-    last = windows.join(twice, ["mark", "whole"]).select(ROW, "low", "high")
+    short = stored(single.mapInArrow(lambda b: _shortened(b, units), _SHORT), "suffix-short")
+    hot = short.groupBy("mark").count().where(F.col("count") > COLLECTION).select("mark")
+    many = stored(short.join(hot, "mark", "left_semi"), "suffix-hot")
+    few = short.join(hot, "mark", "left_anti").repartition("mark").sortWithinPartitions("mark")
+    last = stored(few.mapInArrow(lambda b: _transformed(b, units), _RANGES), "suffix-transformed")
+    windows = many.mapInArrow(lambda b: _windows(b, units), f"{ROW} long, low long, mark long, whole long")
+    twice = stored(repeated(windows, "mark", "whole"), "suffix-twice")
+    hashed = windows.join(twice, ["mark", "whole"]).select(ROW, "low", F.col("low").alias("high"))
+    last = last.unionByName(hashed)
     every = known.unionByName(more).unionByName(last)
     return every.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))
 
@@ -227,15 +241,67 @@ def _open_pieces(batches: Iterator[pa.RecordBatch], step: int, units: Units) ->
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 6)], names=[ROW, "low", "high", "anchor", "mark", "whole"])
 
 
-def _open_windows(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
-    """(__row, low, high, anchor, data, base) -> a row for each window, by its 128-bit hash."""
+_SHORT = f"mark long, {ROW} long, low long, piece binary"
+_RANGES = f"{ROW} long, low long, high long"
+
+
+def _short_span(units: Units) -> int:
+    """Bytes that tell a shortened window: those outside the core, and the core's key."""
+    return (STEP - 1) * units.size + 16
+
+
+def _shortened(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
+    """(__row, low, high, anchor, data, base), a step each -> (mark, __row, low, piece): the bytes that all windows of the
+    whole step share, known to be equal for equal marks, become their 128-bit key; what lies around them stays.
+    So two windows of a step are equal just where their shortened strings are."""
+    span, u = units.span, units.size
     for b in batches:
         out: list[tuple] = []
         for row, low, high, anchor, data, base in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for at in range(low, high + 1):
-                key = xxhash.xxh3_128_intdigest(data[(at - base) * units.size : (at - base + units.span) * units.size])
-                out.append((row, at, at, anchor, _signed(key >> 64), _signed(key & 0xFFFFFFFFFFFFFFFF)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 6)], names=[ROW, "low", "high", "anchor", "mark", "whole"])
+            k = (anchor - low) // STEP
+            begin, end = anchor - (k + 1) * STEP + 1, anchor - k * STEP
+            cut = lambda x, y, data=data, base=base: data[(x - base) * u : (y - base) * u]
+            key = xxhash.xxh3_128_digest(cut(end, begin + span), 1000 + k)
+            out.append((int.from_bytes(key[:8], "big", signed=True), row, low, cut(low, end) + key + cut(begin + span, high + span)))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.binary())], names=["mark", ROW, "low", "piece"])
+
+
+def _transformed(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
+    """Shortened pieces sorted by mark -> ranges of repeated starts, from the transform and common prefixes of collections that
+    hold all pieces of a mark."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        found: list[tuple] = []
+        for (_, row, low, _), starts in zip(rows, repeated_starts([r[3] for r in rows], _short_span(units)), strict=True):
+            at = starts[starts % units.size == 0] // units.size
+            if len(at):
+                new = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+                ends = np.append(new[1:], len(at)) - 1
+                found += [(row, low + x, low + y) for x, y in zip(at[new].tolist(), at[ends].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else [[]] * 3)], names=[ROW, "low", "high"])
+
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if len(held) >= COLLECTION and held[-1][0] != row[0]:
+                yield out(held)
+                held = []
+            held.append(row)
+    if held:
+        yield out(held)
+
+
+def _windows(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
+    """Shortened pieces -> a row for each window, by its 128-bit hash: for marks with too many pieces for one collection."""
+    size, u = _short_span(units), units.size
+    for b in batches:
+        out: list[tuple] = []
+        for row, low, piece in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+            for k in range((len(piece) - size) // u + 1):
+                key = xxhash.xxh3_128_intdigest(piece[k * u : k * u + size])
+                out.append((row, low + k, _signed(key >> 64), _signed(key & 0xFFFFFFFFFFFFFFFF)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)], names=[ROW, "low", "mark", "whole"])
 
 
 def removed_runs(found: list[dict], span: int = SPAN) -> list[tuple[int, int]]:
@@ -322,6 +388,7 @@ def remove_repeats(docs: DataFrame, least_words: int | None = None) -> DataFrame
 
 
 def op6_suffix_dedup(docs: DataFrame) -> DataFrame:
+    """The contract's columns, and as text what is left (without the bytes of characters that were cut)."""
     rows = with_spans(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,8 +397,10 @@ def op6_suffix_dedup(docs: DataFrame) -> DataFrame:
             for text, found in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 runs = removed_runs(found or [])
-                out.append((len(data), sum(y - x for x, y in runs), len(runs), hashlib.sha256(rest_of(data, runs)).hexdigest()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rest = rest_of(data, runs)
+                out.append((len(data), sum(y - x for x, y in runs), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in columns[:3]), *(pa.array(x, pa.string()) for x in columns[3:])], names=names)
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
