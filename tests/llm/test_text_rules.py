@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import math
 import re
 from collections import Counter
@@ -197,25 +198,73 @@ three&nbsp;four<p>Caf&eacute; &#233;<br>next<ul><li>i1<li>i2</ul><div class="com
 <aside>side</aside><form>f<input></form><footer>&copy; me</footer></body></html>"""
 
 
-def test_page_text():
-    assert html_text.main_text(html_text.blocks(PAGE), None) == "Head <1>\nOne two three four\nCafé é\nnext\ni1\ni2"
-    for broken in ("", None, "<", "<p", "text only", "<script>never closed", "<p>a</p></div></p>b", "<!-- open"):
-        html_text.main_text(html_text.blocks(broken), None)
+COMMENTED = PAGE.replace('<div class="comments"><p>rude</p></div>', '<article class="comment"><p>rude</p></article>').replace("<aside>", '<article id="comment-7"><p>ruder</p></article><aside>')
+
 
+def article(html):
+    return "\n".join(t for kind, t in html_text.blocks(html) if kind == 2)
 
-def test_page_differencing(spark, tmp_path):
-    page = lambda body: f"<html><body><p>Home of things</p><p>{body}</p><p>All rights kept</p></body></html>"
-    rows = [(1, "http://h.org/a/1", page("first story")), (2, "http://h.org/a/2", page("second story")), (3, "http://h.org/a/3", None), (4, None, "<p>alone</p>"), (5, "http://[bad", ""), (2, "http://h.org/a/2", page("second story")), (6, "http://i.org/x", PAGE)]
-    df = saved(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int").coalesce(1), tmp_path)
-    got = by_id(html_text.op9_html(df), "page_id")
-    assert got[1][0].text == "first story" and [r.text for r in got[2]] == ["second story"] * 2
+
+def test_page_text():
+    want = "Head <1>\nOne two three four\nCafé é\nnext\ni1\ni2"
+    assert article(PAGE) == want and article(COMMENTED) == want
+    for broken in ("", None, "<", "<p", "text only", "<script>never closed", "<p>a</p></div></p>b", "<!-- open"):
+        html_text.blocks(broken)
+
+
+def plain_pages(rows):
+    """page_id -> text, by pairing whole pages in one list."""
+    nodes = {}
+    for _, url, html in rows:
+        found = html_text.blocks(html)
+        host, path = html_text.path_of(url)
+        if found:
+            key = (host, tuple(found))
+            nodes[key] = min(path, nodes.get(key, path))
+    digest = lambda found: html_text.digest_of(found)
+    order = sorted(nodes, key=lambda k: (k[0], nodes[k], digest(k[1])))
+    texts = {}
+    for i, (host, found) in enumerate(order):
+        near = [order[j] for j in (i - 1, i + 1) if 0 <= j < len(order) and order[j][0] == host]
+        parts = lambda k: nodes[k].split("/")
+        same = lambda k: next((n for n, (x, y) in enumerate(zip(parts(k), parts((host, found)), strict=False)) if x != y), min(len(parts(k)), len(parts((host, found)))))
+        best = max(near, key=same, default=None)
+        shared = html_text.shared_lines([t for _, t in found], [t for _, t in best[1]]) if best else set()
+        inside = any(k == 2 for k, _ in found)
+        texts[host, found] = "\n".join(t for n, (k, t) in enumerate(found) if k == 2 or (k == 1 and not inside and n not in shared))
+    return {i: texts.get((html_text.path_of(url)[0], tuple(html_text.blocks(html))), "") for i, url, html in rows}
+
+
+def template_page(body):
+    return f"<html><body><nav>menu</nav><p>Home of things</p><p>{body}</p><p>All rights kept</p></body></html>"
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_page_differencing(spark, tmp_path, partitions):
+    r = random.Random(5)
+    rows = [(1, "http://h.org/a/1", template_page("first story")), (2, "http://h.org/a/2", template_page("second story")), (3, "http://h.org/a/3", None), (4, None, "<p>alone</p>"), (5, "http://[bad", ""), (6, "http://i.org/x", PAGE), (7, "http://i.org/y", COMMENTED)]
+    for k in range(10, 90):
+        lines = "".join(f"<p>{r.choice(('x', 'y', 'shared', f'own {k}', f'more {k}'))}</p>" for _ in range(r.randint(0, 8)))
+        host, folder = r.choice(("big.org", "big.org", "big.org", "small.org")), r.choice("abc")
+        rows.append((k, f"https://{host}/{folder}/{r.randint(0, 99)}", r.choice((template_page(lines), template_page(lines), f"<article>{lines}</article><p>shared</p>", template_page("a copy")))))
+    rows.append((100, "http://two.org/long", "".join(f"<p>line {k % 5000}</p>" for k in range(20_000))))
+    rows.append((101, "http://two.org/long2", "".join(f"<p>line {k % 4999}</p>" for k in range(15_000))))
+    df = saved(spark.createDataFrame([*((*x, 1) for x in rows), (*rows[1], 1)], "page_id long, url string, html string, text int"), tmp_path)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = by_id(html_text.op9_html(df), "page_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert got[1][0].text == "first story" and [x.text for x in got[2]] == ["second story"] * 2
     assert got[3][0].text == "" and got[4][0].text == "alone" and got[5][0].text == ""
-    assert all(r.n_chars == len(r.text) for x in got.values() for r in x)
+    assert {k: x[0].text for k, x in got.items()} == plain_pages(rows)
+    assert all(x.n_chars == len(x.text) for v in got.values() for x in v)
 
 
 def test_shared_lines_is_a_longest_common_subsequence():
-    import random
-
     r = random.Random(3)
     for _ in range(300):
         a, b = ([r.choice("abcd") for _ in range(r.randint(0, 9))] for _ in range(2))
