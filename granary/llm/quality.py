@@ -25,8 +25,8 @@ MIN_WORDS, MIN_CHARS = 50, 200
 #: Limits on the Jensen-Shannon distances (0 to 1); of documents labelled good on the 0.1 tables,
 #: 99.9 % stay below 0.33 and 0.24.
 MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 0.38, 0.27
-#: References for at most so many languages are broadcast (2 kB each); more are joined by a shuffle.
-BROADCAST_LANGUAGES = 2_000
+#: References of languages are broadcast up to this size; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 20_000_000
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Character classes: these four, bytes beyond one a character (letters that aren't ASCII), white
 #: space, and all the rest (lower-case letters in the main).
@@ -85,45 +85,60 @@ def _classes(counts: Column, total: Column) -> Column:
     return let(counts, lambda c: F.array_append(c, total - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """documents -> (lang, ref_chars, ref_words array<string>, ref_shares): over all documents."""
-    spaces = F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]")).cast("long")
-    rows = _counted(docs).select("lang", "n_chars", F.array_append("classes", spaces).alias("classes"))
-    sums = rows.groupBy("lang").agg(*(F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(_CLASSES) + 2)), F.sum("n_chars").alias("chars"))
-    total = F.col("chars")
-    chars = sums.select("lang", shares(_classes(F.array(*(F.col(f"c{k}") for k in range(len(_CLASSES) + 2))), total), total).alias("ref_chars"))
+def _light(df: DataFrame) -> DataFrame:
+    """df, broadcast if its stored rows take little."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """documents -> (lang, ref_words array<string>, ref_shares): the most frequent words of all documents of a language,
+    and their shares with that of all the rest."""
     text = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(words(F.col("text"))).alias("word"))
     counts = text.groupBy("lang", "word").agg(F.count("*").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     every = counts.groupBy("lang").agg(F.sum("n").alias("all"))
     top = counts.withColumn("k", F.row_number().over(best)).where(F.col("k") <= COMMON).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "word", "n"))).alias("top"))
-    named = chars.join(top.join(every, "lang"), "lang", "left")
-    none = F.array().cast("array<struct<k int, word string, n bigint>>")
-    part = shares(F.transform(F.coalesce("top", none), lambda t: t["n"]), F.col("all"))
-    return named.select("lang", "ref_chars", F.transform(F.coalesce("top", none), lambda t: t["word"]).alias("ref_words"), part.alias("part")).select(
-        "lang", "ref_chars", "ref_words", F.array_append("part", F.greatest(F.lit(0.0), 1 - F.aggregate("part", F.lit(0.0), lambda a, x: a + x))).alias("ref_shares")
+    part = shares(F.transform("top", lambda t: t["n"]), F.col("all"))
+    return top.join(every, "lang").select("lang", F.transform("top", lambda t: t["word"]).alias("ref_words"), part.alias("part")).select(
+        "lang", "ref_words", F.array_append("part", F.greatest(F.lit(0.0), 1 - F.aggregate("part", F.lit(0.0), lambda a, x: a + x))).alias("ref_shares")
     )
 
 
-def assess(docs: DataFrame) -> DataFrame:
-    """documents -> base counts, the two distances (null where the guard holds) and the verdicts."""
-    refs = stored(references(docs), "quality-refs")
-    if refs.count() <= BROADCAST_LANGUAGES:
-        refs = F.broadcast(refs)
+def measured(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """One pass over the texts: base counts, character classes, and the distance of the common words."""
     rows = _counted(docs).withColumn("w", words(F.col("text"))).withColumn("word_chars", F.char_length(F.array_join("w", "")).cast("long"))
-    rows = rows.withColumn("classes", F.array_append("classes", F.col("n_chars") - F.col("word_chars"))).withColumn("h", window_hashes(F.col("w"), WINDOW)).join(refs, "lang")
+    rows = rows.withColumn("h", window_hashes(F.col("w"), WINDOW)).join(common, "lang", "left")
     n = F.size("w")
-    common = let(F.filter("w", lambda x: F.array_contains("ref_words", x)), lambda c: let(F.transform("ref_words", lambda r: F.size(c) - F.size(F.array_remove(c, r))), lambda k: F.array_append(k, n - F.size(c))))
-    rows = rows.select(
+    found = let(F.filter("w", lambda x: F.array_contains("ref_words", x)), lambda c: let(F.transform("ref_words", lambda r: F.size(c) - F.size(F.array_remove(c, r))), lambda k: F.array_append(k, n - F.size(c))))
+    return rows.select(
         "doc_id",
+        "lang",
+        "n_chars",
         n.cast("long").alias("n_words"),
         "word_chars",
         F.get("classes", F.lit(3)).alias("n_symbols"),
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
         repeated_words(F.col("h")).alias("n_repeat_words"),
-        F.when(n >= MIN_WORDS, divergence(shares(common, n), F.col("ref_shares"))).alias("word_distance"),
-        F.when(F.col("n_chars") >= MIN_CHARS, divergence(shares(_classes(F.col("classes"), F.col("n_chars")), F.col("n_chars")), F.col("ref_chars"))).alias("char_distance"),
+        F.when(n >= MIN_WORDS, divergence(shares(found, n), F.col("ref_shares"))).alias("word_distance"),
+        _classes(F.array_append("classes", F.col("n_chars") - F.col("word_chars")), F.col("n_chars")).alias("classes"),
     )
+
+
+def character_shares(rows: DataFrame) -> DataFrame:
+    """Measured rows -> (lang, ref_chars): shares of the character classes over all documents of a language."""
+    kinds = range(len(_CLASSES) + 3)
+    sums = rows.groupBy("lang").agg(*(F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in kinds), F.sum("n_chars").alias("chars"))
+    return sums.select("lang", shares(F.array(*(F.col(f"c{k}") for k in kinds)), F.col("chars")).alias("ref_chars"))
+
+
+def assess(docs: DataFrame) -> DataFrame:
+    """documents -> base counts, the two distances (null where the guard holds) and the verdicts."""
+    common = stored(common_words(docs), "quality-words")
+    rows = stored(measured(docs, _light(common)), "quality-rows")
+    characters = stored(character_shares(rows), "quality-characters")
+    rows = rows.join(_light(characters), "lang")
+    rows = rows.withColumn("char_distance", F.when(F.col("n_chars") >= MIN_CHARS, divergence(shares(F.col("classes"), F.col("n_chars")), F.col("ref_chars"))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False)) | F.coalesce(F.col("char_distance") > MAX_CHAR_DISTANCE, F.lit(False))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
