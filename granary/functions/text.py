@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html
+from functools import reduce
+from operator import or_
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +17,36 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def _decode(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def unescape(text: Column) -> Column:
+    """Character references as characters: Spark has no function for the whole of them."""
+    return F.pandas_udf(_decode, "string")(text)
+
+
+def unescaped(text: Column) -> Column:
+    """Text without character references. The few that pages have most are replaced by plain functions; whatever else looks like one is
+    left to `unescape`, whose rows are blank otherwise."""
+    plain = text
+    for name, character in (("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "\u00a9"), ("middot", "\u00b7"), ("#39", "'"), ("amp", "&")):
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(character))
+    rare = F.regexp_replace(text, "&(?:nbsp|lt|gt|quot|copy|middot|#39|amp);", "").rlike("&(?:#|[A-Za-z])")
+    return F.when(rare, unescape(F.when(rare, text))).otherwise(plain)
+
+
 def strip_tags(html: Column) -> Column:
-    """Text without scripts, styles, comments and tags; character references stay."""
-    out = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")
-    return collapse(F.regexp_replace(out, r"<[^>]+>", " "))
+    """Text without scripts, styles and tags; character references are decoded."""
+    out = F.regexp_replace(html, r"(?is)<\s*script[^>]*>.*?</\s*script\s*>", " ")
+    out = F.regexp_replace(out, r"(?is)<\s*style[^>]*>.*?</\s*style\s*>", " ")
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(out, r"<[^>]+>", " ")), r"(?U)\s+", " "))
+
+
+def whole_text(html: Column) -> Column:
+    """All text of a document, scripts and styles too, without comments and tags."""
+    out = F.regexp_replace(html, r"(?s)<!--.*?-->|<!\w[^>]*>", " ")
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(out, r"</?[A-Za-z][^>]*>", " ")), r"(?U)\s+", " "))
 
 
 def normal_title(text: Column) -> Column:
@@ -126,11 +157,84 @@ def time_ago(seconds: Column) -> Column:
 
 def doc_url(client: Column, slug_url: Column) -> Column:
     """/client/docs/path#anchor with the path percent-encoded; an empty slug gives an empty link."""
-    path, anchor = F.regexp_replace(F.substring_index(slug_url, "#", 1), "^/+", ""), F.when(F.instr(slug_url, "#") > 0, F.expr("substring(slug_url, instr(slug_url, '#') + 1)"))
+    path, anchor = F.regexp_replace(F.substring_index(slug_url, "#", 1), "^/+", ""), F.regexp_extract(slug_url, "(?s)#(.*)$", 1)
     coded = F.url_encode(path)
     for a, b in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
         coded = F.replace(coded, F.lit(a), F.lit(b))
-    return F.concat(F.lit("/"), client, F.lit("/docs/"), coded, F.coalesce(F.concat(F.lit("#"), anchor), F.lit("")))
+    link = F.concat(F.lit("/"), client, F.lit("/docs/"), coded, F.when(anchor == "", "").otherwise(F.concat(F.lit("#"), anchor)))
+    return F.when(F.coalesce(slug_url, F.lit("")) == "", "").otherwise(link)
+
+
+def split_sentences(text: Column, size: int, overlap: int) -> Column:
+    """Pieces of at most `size` estimated tokens made of whole sentences; the last sentences of a piece that fit `overlap` tokens open the
+    next one. A longer sentence is a piece of its own."""
+    sentences = F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda x: x != "")
+    cost = lambda x: F.greatest(F.lit(1), F.floor(F.char_length(x) / 4).cast("long"))
+    none = F.array().cast("array<string>")
+    zero = F.struct(F.lit(0).cast("long").alias("used"), none.alias("now"), none.alias("out"))
+
+    def tail(now: Column) -> Column:
+        """The last sentences within the overlap."""
+        start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("full"), none.alias("kept"))
+
+        def back(a: Column, x: Column) -> Column:
+            stop = a["full"] | (a["used"] + cost(x) > overlap)
+            return F.struct(F.when(stop, a["used"]).otherwise(a["used"] + cost(x)).alias("used"), stop.alias("full"), F.when(stop, a["kept"]).otherwise(F.concat(F.array(x), a["kept"])).alias("kept"))
+
+        return F.aggregate(F.reverse(now), start, back, lambda a: F.struct(a["used"], a["kept"]))
+
+    def step(a: Column, x: Column) -> Column:
+        full = (F.size(a["now"]) > 0) & (a["used"] + cost(x) > size)
+        kept = tail(a["now"])
+        fits = kept["used"] + cost(x) <= size
+        return F.when(full, F.struct((F.when(fits, kept["used"]).otherwise(0) + cost(x)).alias("used"), F.array_append(F.when(fits, kept["kept"]).otherwise(none), x).alias("now"), F.array_append(a["out"], F.array_join(a["now"], " ")).alias("out"))).otherwise(
+            F.struct((a["used"] + cost(x)).alias("used"), F.array_append(a["now"], x).alias("now"), a["out"].alias("out"))
+        )
+
+    return F.aggregate(sentences, zero, step, lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["out"], F.array_join(a["now"], " "))).otherwise(a["out"]))
+
+
+def is_callout(title: Column, names: tuple[str, ...] = L.CALLOUTS) -> Column:
+    """Whether a title names a callout, or holds such a name."""
+    low = F.lower(collapse(title))
+    return reduce(or_, (low.contains(n) for n in names))
+
+
+def record_books(text: Column) -> Column:
+    """The three spellings of the form NP 133C, if the text names it."""
+    return F.when(text.rlike(r"(?i)\bNP\s*-?\s*133C\b"), F.array(*map(F.lit, ("NP 133C", "NP133C", "NP-133C")))).otherwise(F.array().cast("array<string>"))
+
+
+def stable_distinct(values: Column) -> Column:
+    """Each value once, where it comes first."""
+    return F.array_distinct(values)
+
+
+def joined_tags(old: Column, new: Column) -> Column:
+    """Comma-separated tags with new ones, sorted, each once; without new ones as they were."""
+    have = F.filter(F.split(F.coalesce(old, F.lit("")), ","), lambda x: x != "")
+    return F.when(F.size(new) > 0, F.array_join(F.array_sort(F.array_union(have, new)), ",")).otherwise(old)
+
+
+def listed(values: Column) -> Column:
+    """A list as JSON text; null if it's empty."""
+    return F.when(F.size(values) > 0, F.to_json(values))
+
+
+def decoded(text: Column, schema: str) -> Column:
+    """struct<value, raw>: JSON text as `schema`, or, if it isn't that, as the text it is."""
+    value = F.from_json(text, schema)
+    return F.struct(value.alias("value"), F.when(value.isNull(), text).alias("raw"))
+
+
+def card(answer: Column, comment: Column) -> Column:
+    """struct<answer, comment> of a feedback card: 200 characters of the answer, 500 of the comment."""
+    return F.struct(preview(answer, 200).alias("answer"), F.left(F.nullif(F.trim(comment), F.lit("")), F.lit(500)).alias("comment"))
+
+
+def message_id(answer: Column) -> Column:
+    """Id of an answer's first 50 characters: base64 without signs, 16 characters at most."""
+    return F.left(F.regexp_replace(F.base64(F.left(answer, F.lit(50)).cast("binary")), "[^A-Za-z0-9]", ""), F.lit(16))
 
 
 def highlight(text: Column, markers: tuple[str, ...] = L.MARKERS) -> Column:

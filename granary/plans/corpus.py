@@ -48,8 +48,6 @@ query(
     lambda s, d: titles(s, d).select("page_id", T.heading_number(F.concat(F.col("page_id").cast("string"), F.lit(".2"), F.lit(" "), "h1")).alias("x"), T.normal_title(F.concat(F.lit("4.3.5"), "h1")).alias("normal")).select("page_id", "x.*", "normal"),
     rf"select page_id, page_id || '.2' as number, trim({H1}) as title, trim(regexp_replace(lower({H1}), '\s+', ' ', 'g')) as normal from pages",
 )
-query("html_sections", lambda s, d: S.sections(S.blocks(pages(s, d))).select("page_id", "section", "title", "depth", "n_blocks", F.md5(F.col("text").cast("binary")).alias("h")), None)
-query("section_chunks", lambda s, d: S.packed(S.blocks(pages(s, d)).withColumn("section", F.lit(0).cast("long")), 300).select("page_id", "section", "chunk_index", "n_blocks", "tokens", F.md5(F.col("text").cast("binary")).alias("h")), None)
 query("token_estimate", lambda s, d: docs(s, d).select("doc_id", T.tokens_estimate(F.col("text")).alias("tokens")), "select doc_id, greatest(1, length(text) // 4) as tokens from documents")
 query("chunk_index", lambda s, d: V.chunks(s, d).where(F.char_length(F.trim("text")) > 10).select("doc_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("h")), f"with {CHUNKS} select doc_id, chunk_index, md5(text) as h from ch where length(trim(text)) > 10")
 

@@ -41,3 +41,27 @@ MANIFEST = """
 man as (select url as file, case when page_id % 5 = 0 then 'x' || sha256(html) else sha256(html) end as sha256 from pages where page_id % 11 <> 0)
 """
 SINCE = "\"timestamp\" >= timestamp '{}' - interval {} day".format(AS_OF, "{}")
+#: t is a title as text, u with its number before it, keys are their normal forms.
+MANUAL_LINES = r"""
+l0 as (select doc_id, unnest(ls) as line, unnest(generate_series(1, len(ls))) as i from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as ls from documents) where len(ls) > 0),
+l1 as (select doc_id, i, line, array_to_string(string_split(trim(line), ' ')[1:3], ' ') as title from l0),
+ml as (select *, cast(doc_id as varchar) as file, trim(regexp_replace(line, '\s+', ' ', 'g')) as p, trim(regexp_replace(title, '\s+', ' ', 'g')) as t from l1)
+"""
+NORMAL = r"trim(regexp_replace(lower(regexp_replace(trim({}), '^\s*[\d\.]+\s*', '')), '\s+', ' ', 'g'))"
+_SLUG = r"trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
+SLUG = rf"case when {_SLUG} = '' then 'sec-' || left(sha1({{0}}), 10) else 'sec-' || left({_SLUG}, 120) end"
+ANCHORS = f"""{MANUAL_LINES},
+a0 as (
+  select file, i, 'toc' as source, 0 as rank, '_Toc' || i as id, trim(i || '.' || t) as title from ml where i % 4 <> 0
+  union all select file, i, 'bookmark', 1, '_Toc' || i, trim(i || ' ' || t) from ml where i % 3 = 1
+  union all select file, i, 'heading', 2, 'sec' || i, trim(i || ' ' || t) from ml where i % 3 = 2
+  union all select file, i, 'styled', 3, 'sty' || i, t from ml where i % 3 = 0
+  union all select file, i, 'slug', 4, {SLUG.format("trim(i || ' ' || t)")}, trim(i || ' ' || t) from ml where i % 3 <> 0
+  union all select file, i, 'styled_slug', 5, {SLUG.format('t')}, t from ml where i % 3 = 0),
+ai as (select *, {NORMAL.format('title')} as key from a0 where title <> '')
+"""
+NODES = f"""{CHUNKS},
+nd as (select *, tag = 'h2' or (tag = 'p' and ends_with(text, '.')) as is_heading from (select cast(doc_id as varchar) as file, chunk_index as pos,
+  case when chunk_index % 7 = 1 then 'h2' when chunk_index % 7 = 3 then 'li' when chunk_index % 7 = 5 then 'ul' when chunk_index % 11 = 0 then 'table' else 'p' end as tag,
+  case when chunk_index % 13 = 4 then '' when chunk_index % 6 < 2 then 'HEAD ' || chunk_index else text end as text from ch))
+"""

@@ -103,3 +103,42 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     sha = F.sha2(F.col("html").cast("binary"), 256)
     return p.where("page_id % 11 <> 0").select(F.col("url").alias("file"), F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("x"), sha)).otherwise(sha).alias("sha256"))
+
+
+def manual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents that aren't blank, numbered from 1, each with its first three words as title."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("pos", "line"))
+    return d.select("doc_id", (F.col("pos") + 1).alias("i"), "line", F.array_join(F.slice(F.split(F.trim("line"), " "), 1, 3), " ").alias("title"))
+
+
+def manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, html): each document as a page with links to bookmarks, headings of three kinds, lists, callouts and tables."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    i, title = F.col("i").cast("string"), safe(F.col("title"))
+    link = F.when(F.col("i") % 4 != 0, F.concat(F.lit('<p><a href="#_Toc'), i, F.lit('">'), i, F.lit("."), title, F.lit("</a></p>"))).otherwise("")
+    kind = F.col("i") % 3
+    heading = (
+        F.when(kind == 1, F.concat(F.lit('<h2><a name="_Toc'), i, F.lit('">'), i, F.lit(" "), title, F.lit("</a></h2>")))
+        .when(kind == 2, F.concat(F.lit('<h3 id="sec'), i, F.lit('">'), i, F.lit(" "), title, F.lit("</h3>")))
+        .otherwise(F.concat(F.lit('<p class="Heading2 x" id="sty'), i, F.lit('">'), title, F.lit("</p>")))
+    )
+    items = F.when(F.col("i") % 7 == 0, F.concat(F.lit("<ul><li>"), title, F.lit("</li><li>x</li></ul>"))).otherwise("")
+    callout = F.when(F.col("i") % 4 == 0, "<div><b>Records</b> kept F042</div>").otherwise("")
+    row = lambda r: F.concat(F.lit("<tr><td>"), r.cast("string"), F.lit("</td><td>"), i, F.lit("</td></tr>"))
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), F.col("i") % 25 + 1), row), "")
+    data = F.when(F.col("i") % 5 == 0, F.concat(F.lit("<table><tr><th>k</th><th>v</th></tr>"), rows, F.lit("</table>"))).otherwise("")
+    body = F.concat(heading, F.lit("<p>"), safe(F.col("line")), F.lit("</p>"), items, callout, data)
+    each = manual_lines(spark, sf_dir).select("doc_id", "i", link.alias("link"), body.alias("body"))
+    parts = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "link", "body"))).alias("x"))
+    joined = lambda name: F.array_join(F.transform("x", lambda x: x[name]), "")
+    return parts.select(F.col("doc_id").cast("string").alias("file"), F.concat(F.lit("<html><body>"), joined("link"), joined("body"), F.lit("</body></html>")).alias("html"))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, pos, tag, text, is_heading): lines of documents as elements of various tags."""
+    i = F.col("chunk_index")
+    tag = F.when(i % 7 == 1, "h2").when(i % 7 == 3, "li").when(i % 7 == 5, "ul").when(i % 11 == 0, "table").otherwise("p")
+    text = F.when(i % 13 == 4, "").when(i % 6 < 2, F.concat(F.lit("HEAD "), i.cast("string"))).otherwise(F.col("text"))
+    rows = chunks(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), i.alias("pos"), tag.alias("tag"), text.alias("text"))
+    return rows.withColumn("is_heading", (F.col("tag") == "h2") | ((F.col("tag") == "p") & F.endswith("text", F.lit("."))))
