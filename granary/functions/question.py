@@ -99,11 +99,20 @@ def accepted_rewrite(original: Column, rewrite: Column) -> Column:
     return F.when(bad | clean.isNull(), original).otherwise(clean)
 
 
-def conversation_id(client: Column, given: Column) -> Column:
-    """`client:given`, unless it starts so already; null or blank ids take a hash of the client."""
-    blank = F.coalesce(F.trim(given), F.lit("")) == ""
-    fresh = F.concat(client, F.lit(":"), F.left(F.sha1(client.cast("binary")), F.lit(12)))
-    return F.when(blank, fresh).when(F.startswith(F.lower(given), F.lower(F.concat(client, F.lit(":")))), given).otherwise(F.concat(client, F.lit(":"), given))
+def conversation_id(client: Column, given: Column, request: Column) -> Column:
+    """`client:given` without blanks around it, unless it starts so already in any case; a blank id is a fresh one, made from the
+    request's own id, so that no two conversations share it and a retry finds it again."""
+    own = F.trim(given)
+    fresh = F.concat(client, F.lit(":"), F.left(F.sha1(request.cast("string").cast("binary")), F.lit(12)))
+    return F.when(F.coalesce(own, F.lit("")) == "", fresh).when(F.startswith(F.lower(own), F.lower(F.concat(client, F.lit(":")))), own).otherwise(F.concat(client, F.lit(":"), own))
+
+
+def enhanced(q: Column, with_entities: bool = True, rewrite=None) -> Column:
+    """The question that is searched for: with form words if it names a form, else with its entities (if asked for), else as it is.
+    rewrite: a function of Columns that goes first, the question itself by default."""
+    asked = q if rewrite is None else accepted_rewrite(q, rewrite(q))
+    named = enhance_with_entities(asked, entities(q, "regulations"), entities(q, "equipment"), entities(q, "procedures"))
+    return F.coalesce(enhance_for_forms(asked), named if with_entities else F.lit(None).cast("string"), asked)
 
 
 def normal_name(name: Column, fallback: str) -> Column:

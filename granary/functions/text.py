@@ -223,8 +223,8 @@ def listed(values: Column) -> Column:
 
 def decoded(text: Column, schema: str) -> Column:
     """struct<value, raw>: JSON text as `schema`, or, if it isn't that, as the text it is."""
-    value = F.from_json(text, schema)
-    return F.struct(value.alias("value"), F.when(value.isNull(), text).alias("raw"))
+    valid = F.get_json_object(text, "$").isNotNull()
+    return F.struct(F.when(valid, F.from_json(text, schema)).alias("value"), F.when(~valid, text).alias("raw"))
 
 
 def card(answer: Column, comment: Column) -> Column:

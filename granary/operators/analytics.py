@@ -106,3 +106,18 @@ def with_references(logs: DataFrame, refs: DataFrame) -> DataFrame:
 
 def top_reference(refs: DataFrame) -> DataFrame:
     return refs.groupBy("query_log_id").agg(F.min_by(F.struct("title", "score"), "reference_rank").alias("t")).select("query_log_id", "t.title", "t.score")
+
+
+#: Bounds of request parameters.
+BOUNDS = {"days": (1, 365), "timeline_days": (1, 90), "limit": (1, 1000), "qa_limit": (1, 100), "page_size": (1, 100)}
+
+
+def checked(**parameters: int) -> dict[str, int]:
+    """The parameters, each within its bounds, or a ValueError that names the first that isn't."""
+    return {name: bounded(value, *BOUNDS[name], name) for name, value in parameters.items()}
+
+
+def with_feedback(logs: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Each log with the ratings of its feedback: (id, n, mean_rating, helpful), null means without any."""
+    f = feedback.groupBy("query_log_id").agg(F.count("*").alias("n"), F.round(F.avg("rating"), 4).alias("mean_rating"), F.count_if("helpful").alias("helpful"))
+    return logs.join(f, logs["id"] == f["query_log_id"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "mean_rating", F.coalesce("helpful", F.lit(0)).alias("helpful"))

@@ -46,3 +46,15 @@ def upsert(path: str, new: DataFrame, key: str, partition: str) -> None:
 
 def first_by_position(rows: DataFrame, key: str, value: str, position: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(value, position).alias("first"), F.max_by(value, position).alias("last"))
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Old rows without the ids that come anew, and all new rows."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def to_embed(chunks: DataFrame, changed_files: DataFrame, there: DataFrame) -> DataFrame:
+    """Chunks to embed: all if the collection is empty, else those of changed files."""
+    if not there.limit(1).count():
+        return chunks
+    return chunks.join(changed_files.select("file").distinct(), "file", "left_semi")

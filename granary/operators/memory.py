@@ -57,6 +57,17 @@ def delete_conversation(messages: DataFrame, conversation_id: str, client: str)
     return messages.where(~((F.col("conversation_id") == conversation_id) & own))
 
 
+def deleted_count(messages: DataFrame, conversation_id: str, client: str) -> DataFrame:
+    """(deleted): how many messages a deletion removes."""
+    own = F.startswith(F.lit(conversation_id), F.lit(f"{client}:"))
+    return messages.agg(F.count_if((F.col("conversation_id") == conversation_id) & own).alias("deleted"))
+
+
+def in_order(messages: DataFrame, conversation_id: str) -> DataFrame:
+    """A conversation without its citations, by id."""
+    return without_citations(messages.where(F.col("conversation_id") == conversation_id)).orderBy("id")
+
+
 def previous_question(messages: DataFrame) -> DataFrame:
     """Each assistant message with the nearest user message before it (an as-of join on order)."""
     before = Window.partitionBy("conversation_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)

@@ -38,8 +38,10 @@ def top_terms(scores: DataFrame, k: int = 25) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best).cast("long")).where((F.col("rank") <= max(2 * k, k + 10)) & (F.char_length("term") >= 3))
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(docs: DataFrame, stop: tuple[str, ...] = L.STOP, generic: tuple[str, ...] = L.GENERIC) -> DataFrame:
+    """(term, df): in how many texts each word is, stop and generic words left out."""
+    words = F.array_distinct(F.filter(tokens(F.col("text")), lambda t: ~_isin(t, stop + generic)))
+    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def pruned(top: DataFrame, df: DataFrame, max_df: int = 25, max_unigrams: int = 8, min_phrase_ratio: float = 0.6) -> DataFrame:
@@ -81,11 +83,83 @@ def phrase_pattern(phrase: str) -> str:
     return r"[\s\-/]+".join(re.escape(w) for w in phrase.split())
 
 
-def enrich(chunks: DataFrame, rules: list[tuple[str, int, list[str]]], synonyms: dict[str, list[str]]) -> DataFrame:
+def acronym_pattern(term: str) -> str | None:
+    """A term as a pattern that finds it in any case: a phrase between what isn't a letter or digit, with any blanks and hyphens between its words; a
+    single word as it is or with dots and blanks between its letters, wherever it stands."""
+    t = term.strip()
+    letters = re.sub("[^A-Za-z0-9]", "", t)
+    if not letters:
+        return None
+    if " " in t or "-" in t:
+        return rf"(?i)(?<![A-Z0-9]){re.escape(t).replace(chr(92) + ' ', '[' + chr(92) + 's' + chr(92) + '-]+')}(?![A-Z0-9])"
+    spaced = r"\.?\s*".join(letters)
+    return f"(?i)(?:{re.escape(t)}|{spaced})"
+
+
+def enrich(chunks: DataFrame, rules: list[tuple[str, int, list[str]]], synonyms: dict[str, list[str]], form: str = "word") -> DataFrame:
     """Tags of each text: viq:<rule>, chap:<chapter>, syn:<base>, sorted. A rule is one alternation, compiled
-    once; it fires once however many of its patterns match."""
+    once; it fires once however many of its patterns match. form: how synonyms are found: "word", base or variant between
+    word boundaries; "acronym", base or variant by `acronym_pattern`; "variant", variants alone, anywhere."""
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    found = [F.when(low.rlike("|".join(phrase_pattern(p.lower()) for p in patterns)), F.array(F.lit(f"viq:{name}"), F.lit(f"chap:{chapter}"))) for name, chapter, patterns in rules if patterns]
-    found += [F.when(low.rlike("(?U)" + "|".join(rf"\b{phrase_pattern(v.lower())}\b" for v in (base, *variants))), F.array(F.lit(f"syn:{base}"))) for base, variants in synonyms.items()]
-    tags = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(*found)))))
-    return chunks.withColumn("domain_tags", tags)
+
+    def names(base: str, variants: list[str]) -> str:
+        if form == "acronym":
+            return "|".join(p for v in (base, *variants) if (p := acronym_pattern(v)))
+        if form == "variant":
+            return "|".join(phrase_pattern(v.lower()) for v in variants)
+        return "(?U)" + "|".join(rf"\b{phrase_pattern(v.lower())}\b" for v in (base, *variants))
+
+    hits = [(name, chapter, low.rlike("|".join(phrase_pattern(p.lower()) for p in patterns))) for name, chapter, patterns in rules if patterns]
+    found = [F.when(hit, F.array(*([F.lit(f"viq:{name}")] + ([] if chapter is None else [F.lit(f"chap:{chapter}")])))) for name, chapter, hit in hits]
+    called = [(base, low.rlike(p)) for base, variants in synonyms.items() if (p := names(base, variants))]
+    found += [F.when(hit, F.array(F.lit(f"syn:{base}"))) for base, hit in called]
+    none = F.array().cast("array<string>")
+    listed = lambda values: F.array_join(F.array_compact(F.array(*values)) if values else none, ",")
+    tags = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(*found)))) if found else none)
+    return chunks.withColumns({
+        "domain_tags": tags,
+        "viq_hints": listed([F.when(hit, name) for name, _, hit in hits]),
+        "viq_chapters": listed([F.when(hit, str(chapter)) for _, chapter, hit in hits if chapter is not None]),
+        "synonym_hits": listed([F.when(hit, base) for base, hit in sorted(called, key=lambda x: x[0])]),
+    })
+
+
+def enrich_by_code(chunks: DataFrame, rules: list[dict], groups: list[dict | str]) -> DataFrame:
+    """The same for rules {code, patterns, tags} and groups {name, terms} or single terms: patterns are used as they are written, terms
+    between word boundaries; rules without a code are left out."""
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    coded = [(r["code"], r.get("tags", []), text.rlike("(?i)" + "|".join(f"(?:{p})" for p in r["patterns"]))) for r in rules if "code" in r and r.get("patterns")]
+    named = [({"name": g, "terms": [g]} if isinstance(g, str) else {"name": g.get("name", (g.get("terms") or ["unknown"])[0]), "terms": g.get("terms", [])}) for g in groups]
+    called = [(g["name"], text.rlike("(?iU)" + "|".join(rf"\b{re.escape(t)}\b" for t in g["terms"]))) for g in named if g["terms"]]
+    none = F.array().cast("array<string>")
+    listed = lambda values: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*values)))) if values else none, ",")
+    tags = [F.when(hit, F.array(F.lit(f"viq:{code}"), *map(F.lit, own))) for code, own, hit in coded] + [F.when(hit, F.array(F.lit(f"syn:{name}"))) for name, hit in called]
+    every = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(*tags))))) if tags else none, ",")
+    return chunks.withColumns({"viq_hints": listed([F.when(hit, code) for code, _, hit in coded]), "domain_tags": every, "synonym_hits": listed([F.when(hit, name) for name, hit in called])})
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    """Questions with an id and some text of question or requirements, trimmed."""
+    t = {c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("viq_no", "viq_question", "procedural_requirements")}
+    out = rows.select("chapter_no", *(v.alias(k) for k, v in t.items()))
+    return out.where((F.col("viq_no") != "") & ((F.col("viq_question") != "") | (F.col("procedural_requirements") != "")))
+
+
+def build_rules(rows: DataFrame, top: int = 25, max_df: int = 25, max_unigrams: int = 8, min_phrase_ratio: float = 0.6) -> DataFrame:
+    """Questions (viq_no, chapter_no, viq_question, procedural_requirements) -> rules (viq_no, chapter_no, patterns): the best terms of each,
+    pruned by how many questions have them; a question without any has no rule."""
+    texts = usable(rows).select(F.col("viq_no").alias("doc_id"), "chapter_no", F.concat_ws("\n", "viq_question", "procedural_requirements").alias("text"))
+    best = top_terms(term_scores(texts.select("doc_id", "text")), top)
+    kept = pruned(best, document_frequency(texts), max_df, max_unigrams, min_phrase_ratio)
+    patterns = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("x"))
+    return patterns.join(texts.select("doc_id", F.col("chapter_no").cast("int").alias("chapter_no")), "doc_id").select(F.col("doc_id").alias("viq_no"), "chapter_no", F.transform("x", lambda x: x["term"]).alias("patterns"))
+
+
+def synonym_map(pairs: DataFrame) -> DataFrame:
+    """(base, synonym or null) -> (base, variants): bases of three letters or more get their dotted and spaced spellings too; noisy variants
+    go, and bases without any."""
+    clean = pairs.select(F.lower(F.trim("base")).alias("base"), F.lower(F.trim("synonym")).alias("synonym")).where("base <> ''")
+    letters = F.filter(F.split(F.regexp_replace("base", "[^a-z0-9]", ""), ""), lambda c: c != "")
+    more = F.when(F.size(letters) >= 3, F.array(F.array_join(letters, "."), F.array_join(letters, " "))).otherwise(F.array().cast("array<string>"))
+    every = clean.select("base", F.col("synonym").alias("s")).unionByName(clean.select("base", F.explode(more).alias("s")))
+    return every.where("s is not null and s <> ''").where(~is_noisy(F.col("s"))).groupBy("base").agg(F.array_sort(F.collect_set("s")).alias("variants"))

@@ -28,7 +28,8 @@ def docs(s, d):
     return V.table(s, d, "documents")
 
 
-STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+_BARE = r"regexp_replace(regexp_replace({}, '<script.*?</script>|<style.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g')"
+STRIP = f"trim(regexp_replace(replace(replace(replace(replace({_BARE}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 query("strip_tags", lambda s, d: pages(s, d).select("page_id", F.md5(T.strip_tags(F.col("html")).cast("binary")).alias("h")), f"select page_id, md5({STRIP.format('html')}) as h from pages")
 H1 = r"regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
 
@@ -63,12 +64,23 @@ query(
     g as (select doc_id, i, n as used, cast(0 as bigint) as chunk from l where i = 1 union all select l.doc_id, l.i, case when g.used + l.n > 200 then l.n else g.used + l.n end, g.chunk + case when g.used + l.n > 200 then 1 else 0 end from g join l on l.doc_id = g.doc_id and l.i = g.i + 1)
     select doc_id, chunk, count(*) as n_lines, min(i) - 1 as first_line from g group by 1, 2""",
 )
-query("split_long_text", lambda s, d: docs(s, d).select("doc_id", F.posexplode(T.split_long(F.col("text"), 120, 16)).alias("pos", "part")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("part").cast("binary")).alias("h")), None)
+SPLIT = r"""
+with recursive d as (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from documents), c as (select doc_id, w, list_transform(w, lambda x: length(x) // 4 + 1) as c from d where len(w) > 0),
+x as (select doc_id, unnest(generate_series(1, len(w))) as i, unnest(c) as c from c), s as (select doc_id, i, c, sum(c) over (partition by doc_id order by i) as t from x),
+p as (select doc_id, cast(0 as bigint) as pos, cast(1 as bigint) as a, (select greatest(1, count(*)) from s where s.doc_id = c.doc_id and s.t <= 120) as b from c
+  union all select p.doc_id, p.pos + 1, n.a, n.a - 1 + (select greatest(p.b + 1 - n.a + 1, count(*)) from s where s.doc_id = p.doc_id and s.i >= n.a and s.t - (select t - c from s z where z.doc_id = p.doc_id and z.i = n.a) <= 120)
+  from p join c using (doc_id), lateral (select p.b + 1 - greatest(0, least(4, p.b - p.a)) as a) n where p.b < len(c.w))
+select p.doc_id, pos, md5(array_to_string(w[a:b], ' ')) as h from p join c using (doc_id)
+"""
+query("split_long_text", lambda s, d: docs(s, d).select("doc_id", F.posexplode(T.split_long(F.col("text"), 120, 16)).alias("pos", "part")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("part").cast("binary")).alias("h")), SPLIT)
 query("table_groups", lambda s, d: docs(s, d).select("doc_id", F.array_join(T.table_groups(F.size(F.split("text", "\n"))), ",").alias("groups")), "select doc_id, array_to_string([a || '-' || least(a + 9, n) for a in generate_series(1, n, 10)], ',') as groups from (select doc_id, len(string_split(text, chr(10))) as n from documents)")
 query("form_codes", lambda s, d: docs(s, d).select("doc_id", F.array_join(T.form_codes(F.concat(F.lit("f0"), (F.col("doc_id") % 1000).cast("string"), F.lit(" F12 f012, xf99 "), "text")), ",").alias("codes")), r"select doc_id, array_to_string(list_sort(list_distinct([upper(x) for x in regexp_extract_all('f0' || (doc_id % 1000) || ' F12 f012, xf99 ' || text, '(?i)\bF0*\d{2,3}\b')])), ',') as codes from documents")
+_WORDS = "|".join(L.HEADING_WORDS)
 query(
-    "heading_like", lambda s, d: V.chunks(s, d).select("doc_id", "chunk_index", T.heading_like(F.col("text")).alias("is_heading")).groupBy("doc_id").agg(F.count_if("is_heading").alias("n")),
-    None,
+    "heading_like", lambda s, d: V.chunks(s, d).select("doc_id", T.heading_like(F.when(F.col("chunk_index") % 3 == 0, F.concat(F.lit("Key "), F.initcap(F.left("text", F.lit(20))))).otherwise(F.left("text", F.lit(101)))).alias("is_heading")).groupBy("doc_id").agg(F.count_if("is_heading").alias("n")),
+    rf"""with {CHUNKS}, t as (select doc_id, trim(case when chunk_index % 3 = 0 then 'Key ' || array_to_string(list_transform(string_split(left(text, 20), ' '), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), ' ') else left(text, 101) end) as t from ch),
+    u as (select doc_id, t, regexp_matches(t, '\p{{L}}') as cased, array_to_string(list_transform(string_split(t, ' '), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), ' ') as cap from t)
+    select doc_id, count(*) filter (t <> '' and length(t) < 100 and not contains(t, chr(10)) and (ends_with(t, ':') or (cased and upper(t) = t) or (cased and t = cap and not regexp_matches(t, '\p{{Lu}}\p{{Lu}}')) or (regexp_matches(lower(t), '{_WORDS}') and len(string_split_regex(t, '\s+')) <= 5))) as n from u group by 1""",
 )
 query("duplicate_lines_removed", lambda s, d: V.chunks(s, d).withColumn("before", F.lag("text").over(Window.partitionBy("doc_id").orderBy("chunk_index"))).where(~F.col("text").eqNullSafe(F.col("before"))).select("doc_id", "chunk_index"), f"with {CHUNKS} select doc_id, chunk_index from (select *, lag(text) over (partition by doc_id order by chunk_index) as b from ch) where text is distinct from b")
 
@@ -115,10 +127,10 @@ def top(s, d):
 
 
 query("top_terms", lambda s, d: top(s, d).select("doc_id", "term", "score", "rank"), f"with {TOKENS} select doc_id, term, score, rank from tt where length(term) >= 3")
-query("document_frequency", lambda s, d: M.document_frequency(docs(s, d)), f"with {TOKENS} select term, count(*) as df from (select doc_id, unnest(list_distinct(w0)) as term from dt) group by 1")
+query("document_frequency", lambda s, d: M.document_frequency(docs(s, d)), f"with {TOKENS} select term, count(*) as df from (select doc_id, unnest(list_distinct(w)) as term from tk) group by 1")
 query(
     "pruned_patterns", lambda s, d: M.pruned(top(s, d), M.document_frequency(docs(s, d))),
-    f"""with {TOKENS}, df as (select term, count(*) as df from (select doc_id, unnest(list_distinct(w0)) as term from dt) group by 1), t3 as (select * from tt where length(term) >= 3),
+    f"""with {TOKENS}, df as (select term, count(*) as df from (select doc_id, unnest(list_distinct(w)) as term from tk) group by 1), t3 as (select * from tt where length(term) >= 3),
     ph as (select doc_id, term, rank, 0 as kind from t3 where is_phrase), uw as (select doc_id, term, rank, row_number() over (partition by doc_id order by rank) as k from t3 join df using (term) where not is_phrase and length(term) >= 4 and df <= 25 qualify k <= 8),
     ct as (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(p, 0) as p, coalesce(u, 0) as u from (select doc_id, count(*) as p from ph group by 1) a full join (select doc_id, count(*) as u from uw group by 1) b on a.doc_id = b.doc_id),
     mo as (select doc_id, case when p > 0 and p < 0.6::double * (p + u) then greatest(0, floor(p / 0.6::double - p)) else u end as most from ct),

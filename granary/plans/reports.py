@@ -40,7 +40,7 @@ query(
 )
 query("perf_averages", lambda s, d: A.timings(logs(s, d)), f"with {LOGS} select " + ", ".join(f"{MEAN.format(c)} as avg_{c}" for c in ("retrieval_time_ms", "reranking_time_ms", "synthesis_time_ms", "total_time_ms", "chunks_retrieved")) + " from logs")
 query("rollup_client_day", lambda s, d: A.rollup_by_day(logs(s, d)), f'with {LOGS} select client_id, day, count(*) as n, cast(sum(total_time_ms) as bigint) as ms from (select *, cast(cast("timestamp" as date) as varchar) as day from logs) group by rollup (client_id, day)')
-query("latency_percentiles", lambda s, d: A.latency_percentiles(logs(s, d)), None)
+query("latency_percentiles", lambda s, d: A.latency_percentiles(logs(s, d)), f"with {LOGS} select client_id, quantile_disc(total_time_ms, 0.5) as p50, quantile_disc(total_time_ms, 0.95) as p95, count(*) as n from logs group by 1")
 
 DETAIL = ("id", "timestamp", "client_id", "original_query", "total_time_ms")
 query("query_page", lambda s, d: A.page(logs(s, d), "timestamp", 3, 20).select(*DETAIL), f'with {LOGS} select id, "timestamp", client_id, original_query, total_time_ms from logs order by "timestamp" desc, id desc limit 20 offset 40')

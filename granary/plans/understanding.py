@@ -82,7 +82,6 @@ query(
     "rewrite_guard", lambda s, d: qs(s, d).select("id", Q.accepted_rewrite(F.col("q"), F.concat(F.lit('"'), F.left("q", F.lit(25)), F.lit('"'))).alias("accepted")),
     rf"""with {QUESTIONS_CTE}, r as (select id, q, trim(regexp_replace(regexp_replace('"' || left(q, 25) || '"', '^["'']+', ''), '["'']+$', '')) as c from qp) select id, case when length(c) > 3 * length(q) or len(regexp_extract_all(c, '\S+')) < 3 then q else c end as accepted from r""",
 )
-query("conversation_id_norm", lambda s, d: qs(s, d).select("id", Q.conversation_id(F.lit("Rsms"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("rsms:"), F.col("id").cast("string"))).otherwise(F.col("id").cast("string"))).alias("cid")), f"with {QUESTIONS_CTE} select id, case when id % 2 = 0 then 'rsms:' || id else 'Rsms:' || id end as cid from qp")
 query("tenant_norm", lambda s, d: V.query_logs(s, d).select("id", Q.normal_name(F.concat(F.lit("  "), F.upper("client_id"), F.lit(" ")), "default").alias("tenant")), "select event_id as id, 'c' || (user_id % 7) as tenant from events")
 
 
@@ -101,12 +100,12 @@ query("vector_topk", vector_topk, f"with {VEC} select query_id, vec_id, score, r
 
 
 def bm25(s, d):
-    items = V.table(s, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
+    items = V.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return R.bm25_topk(items, V.table(s, d, "documents").select("doc_id", "text"), 12)
 
 
 BM25 = r"""
-qt as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) as term from benchmark where item_id % 100 = 0),
+qt as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) as term from benchmark),
 dw as (select doc_id, regexp_extract_all(lower(text), '[a-z]{2,}') as w from documents), st as (select count(*) as n, avg(len(w)) as al from dw),
 tf as (select doc_id, l, term, count(*) as f from (select doc_id, len(w) as l, unnest(w) as term from dw) where term in (select term from qt) group by all),
 df as (select term, count(*) as df from tf group by 1),
@@ -148,28 +147,9 @@ query(
     "citations", lambda s, d: R.citations(passages(s, d).select("query_id", "rank", F.concat(F.lit("<"), "source", F.lit("> & co")).alias("title"), F.concat(F.lit("/docs/"), F.col("id").cast("string")).alias("url"))),
     f"""with {PASS} select query_id, '[REFS]<ul>' || string_agg('<li data-idx="' || (rank - 1) || '"><a href="/docs/' || id || '">&lt;' || source || '&gt; &amp; co</a></li>', '' order by rank) || '</ul>' as block from ps group by 1""",
 )
-MARKS = ("The", "And", "Is")
-HL = "text"
-for _m in MARKS:
-    for _t in ("' '", "':'"):
-        HL = f"replace({HL}, chr(10) || '{_m}' || {_t}, chr(10) || chr(10) || '🔹 SECTION: {_m.upper()} 🔹' || chr(10))"
-
-
-def highlighted(s, d):
-    return V.table(s, d, "documents").select("doc_id", F.md5(_highlight(F.col("text")).cast("binary")).alias("h"))
-
-
-def _highlight(text):
-    for m in MARKS:
-        for tail in (" ", ":"):
-            text = F.replace(text, F.lit(f"\n{m}{tail}"), F.lit(f"\n\n🔹 SECTION: {m.upper()} 🔹\n"))
-    return text
-
-
-query("section_highlight", highlighted, f"select doc_id, md5({HL}) as h from documents")
 query(
-    "doc_url", lambda s, d: V.table(s, d, "pages").withColumn("slug_url", F.concat(F.lit("/"), F.regexp_extract("url", "//[^/]+/([^?#]*)", 1), F.lit(" a+b*~.html#sec-1"))).select("page_id", T.doc_url(F.lit("rsms"), F.col("slug_url")).alias("link")),
-    r"select page_id, '/rsms/docs/' || ltrim(regexp_extract(url, '//[^/]+/([^?#]*)', 1), '/') || '%20a%2Bb%2A~.html#sec-1' as link from pages",
+    "doc_url", lambda s, d: V.table(s, d, "pages").withColumn("slug", F.concat(F.lit("/"), F.regexp_extract("url", "//[^/]+/([^?#]*)", 1), F.lit(" a+b*~.html#sec-1"))).select("page_id", T.doc_url(F.lit("co"), F.col("slug")).alias("link")),
+    r"select page_id, '/co/docs/' || ltrim(regexp_extract(url, '//[^/]+/([^?#]*)', 1), '/') || '%20a%2Bb%2A~.html#sec-1' as link from pages",
 )
 query("clients", lambda s, d: V.chunks(s, d).select("client_id").distinct(), "select distinct source as client_id from documents")
 query("chunk_peek", lambda s, d: V.chunks(s, d).orderBy("doc_id", "chunk_index").limit(10).select("doc_id", "chunk_index", "text"), f"with {CHUNKS} select doc_id, chunk_index, text from ch order by doc_id, chunk_index limit 10")
