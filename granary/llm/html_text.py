@@ -332,12 +332,13 @@ def template(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> (page_id, url, text)."""
     scanned = stored(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_scan, _SCANNED), "html-scanned")
-    # An article is whole as it is; lines of the other pages are looked up.
-    gone = template(scanned).join(stored(scanned.where("lines is not null").select("host", "digest").distinct(), "html-open"), ["host", "digest"], "left_semi")
-    rows = scanned.join(gone, ["host", "digest"], "left")
+    # An article is whole as it is and needs no join; lines of the other pages are looked up.
+    whole, open_ = scanned.where("lines is null"), scanned.where("lines is not null")
+    gone = template(scanned).join(stored(open_.select("host", "digest").distinct(), "html-open"), ["host", "digest"], "left_semi")
     kept = F.filter("lines", lambda x, k: ~F.array_contains("gone", k))
-    text = F.coalesce("article", F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n"), F.lit(""))
-    return rows.select("page_id", "url", text.alias("text"))
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n")
+    rest = open_.join(gone, ["host", "digest"], "left").select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
+    return whole.select("page_id", "url", F.coalesce("article", F.lit("")).alias("text")).unionByName(rest)
 
 
 def op9_html(pages: DataFrame) -> DataFrame:
