@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_starts
-from .common import ROW, discard, free_name, numbered, stored
+from .common import ROW, discard, free_name, numbered, released, stored
 
 SPAN, GRAM, STEP = 400, 32, 16
 #: Strings of one collection.
@@ -189,10 +189,13 @@ def spans(rows: DataFrame, units: Units = BYTES) -> DataFrame:
         return rows.join(lists, ROW).select(ROW, "text", "ranges")
 
     known, open_ = judged(groups_of, "suffix-judged")
+    discard(groups_of)
     # Only the bytes under open groups are needed from here on.
     pieces = stored(texts(open_).mapInArrow(lambda b: _cut_out(b, units), _PIECES), "suffix-open")
     steps = pieces.mapInArrow(lambda b: _open_pieces(b, STEP, units), _FOUND)
-    more, rest = judged(stored(steps, "suffix-steps"), "suffix-judged-steps")
+    cut = stored(steps, "suffix-steps")
+    more, rest = judged(cut, "suffix-judged-steps")
+    discard(cut)
     left = pieces.join(rest.withColumnsRenamed({"low": "from", "high": "to"}), [ROW, "anchor"]).where("`from` >= low and `to` <= high")
     single = left.select(ROW, F.col("from").alias("low"), F.col("to").alias("high"), "anchor", "data", F.col("low").alias("base"))
     short = stored(single.mapInArrow(lambda b: _shortened(b, units), _SHORT), "suffix-short")
@@ -205,7 +208,9 @@ def spans(rows: DataFrame, units: Units = BYTES) -> DataFrame:
     hashed = windows.join(twice, ["mark", "whole"]).select(ROW, "low", F.col("low").alias("high"))
     last = last.unionByName(hashed)
     every = known.unionByName(more).unionByName(last)
-    return every.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))
+    out = stored(every.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans")), "suffix-spans")
+    discard(pieces, short, many, twice)
+    return out
 
 
 _PIECES = f"{ROW} long, low long, high long, anchor long, data binary"
@@ -361,6 +366,7 @@ def remove_repeats(docs: DataFrame, least_words: int | None = None) -> DataFrame
     for units in [BYTES] if least_words is None else [BYTES, words(least_words)]:
         names.append(free_name(rows, f"__spans{len(names)}"))
         rows = rows.join(spans(source, units).select(F.col(ROW).alias(row), F.col("spans").alias(names[-1])), row, "left")
+        released(docs.sparkSession)
     rows = rows.select(*(F.col(f"`{c}`") for c in [*docs.columns, *names]))
     at, width = docs.columns.index("text"), len(docs.columns)
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
