@@ -14,7 +14,8 @@ starts with one anchor:
    transform and common prefixes (`bwt`): windows of a step share a core, so its key stands for it, and
    strings of few dozen bytes are left. They're built column by column, one symbol of each string a round,
    through sequential files of the task. Marks with more than `COLLECTION` such strings, too many for one
-   collection, are decided by 128-bit hashes of their windows instead, with the same result.
+   collection, and strings of words, eight symbols a word, are decided by 128-bit hashes of their windows
+   instead, with the same result.
 
 Counts of hashes are sums of partial counts, so no hash, however common, meets in one task; what
 a task sees of one hash leaves it as one row. Copies of a document or passage thus cost one row a task.
@@ -199,7 +200,9 @@ def spans(rows: DataFrame, units: Units = BYTES) -> DataFrame:
     left = pieces.join(rest.withColumnsRenamed({"low": "from", "high": "to"}), [ROW, "anchor"]).where("`from` >= low and `to` <= high")
     single = left.select(ROW, F.col("from").alias("low"), F.col("to").alias("high"), "anchor", "data", F.col("low").alias("base"))
     short = stored(single.mapInArrow(lambda b: _shortened(b, units), _SHORT), "suffix-short")
-    hot = short.groupBy("mark").count().where(F.col("count") > COLLECTION).select("mark")
+    # A word takes eight symbols, and rounds times symbols is what the transform costs: words go by hashes.
+    most = COLLECTION if units.size == 1 else 0
+    hot = short.groupBy("mark").count().where(F.col("count") > most).select("mark")
     many = stored(short.join(hot, "mark", "left_semi"), "suffix-hot")
     few = short.join(hot, "mark", "left_anti").repartition("mark").sortWithinPartitions("mark")
     last = stored(few.mapInArrow(lambda b: _transformed(b, units), _RANGES), "suffix-transformed")
