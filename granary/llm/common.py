@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +55,21 @@ def discard(*tables: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more; it finds them when memory is collected, which
-    a driver with little to do may put off for long."""
-    gc.collect()
-    spark._jvm.System.gc()
+    a driver with little to do may put off for long. What a plan that has just ended still holds goes the second time."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def given_back() -> None:
+    """In a worker: memory that was freed goes back to the system, at once from here on for arrays over a megabyte. Else a
+    worker keeps what its largest task took, beside the JVM and the next task."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 def free_name(df: DataFrame, name: str = ROW) -> str:

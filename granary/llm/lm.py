@@ -17,6 +17,9 @@ P(w | c) = high(c w) + rest(c) P(w | shorter c), where high = n(c w) / (n(c) + P
 rest = PRIOR / (n(c) + PRIOR), down to (count + 1) / (N + V + 1). Levels are written to one work file of the
 task and mapped from it.
 
+A bucket's arrays of a value a token are made and used `SLICE` tokens at a time where that can be, and the trie's
+levels go to the file one by one: two tasks and the JVM share an executor's memory.
+
 Null texts are empty: the end token alone. Null ids aren't learnt from. Repeated rows count twice.
 An empty table gives no rows. A very long text is a bucket of its own.
 """
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stored
+from .common import given_back, held_out, released, stored
 
 MOD, REST = 7, 2
 BUCKET = 2_000_000
@@ -44,6 +47,8 @@ PRIOR = (1000.0, 2.0)
 END = b"\n"  # no word has white space
 LEVELS = 255
 BITS = 56
+#: Tokens worked on at once.
+SLICE = 1 << 17
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -62,6 +67,10 @@ def gram_hash(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def slices(n: int) -> Iterator[slice]:
+    return (slice(k, k + SLICE) for k in range(0, n, SLICE))
+
+
 # --- sorted sequences ---
 
 
@@ -142,6 +151,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
     numbers: dict[bytes, int] = {}
     parts: list[np.ndarray] = []
     size = 0
+    given_back()
 
     def out() -> pa.RecordBatch:
         nonlocal number
@@ -156,6 +166,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
             if size and size + len(own) > BUCKET:
                 yield out()
                 docs, flags, lengths, numbers, parts, size = [], [], [], {}, [], 0
+                given_back()
             add = numbers.setdefault
             parts.append(np.fromiter([add(w, len(numbers)) for w in own], np.uint32, len(own)))
             docs.append(doc_id)
@@ -174,34 +185,44 @@ class Bucket:
         self.held, self.lengths = (flags & 1).astype(bool), np.frombuffer(lengths, "<u4").astype(np.int64)
         words = np.frombuffer(vocabulary, "<u8")
         order = np.argsort(words)
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
         #: The words by hash, and each token's place among them.
         self.vocabulary, self.ids = words[order], place[plane_values(ids)]
         self.first = np.cumsum(np.append(0, self.lengths[:-1])) if len(self.lengths) else self.lengths
         self.learn = np.repeat(flags >> 1, self.lengths).astype(bool)
-        start = np.repeat(self.first, self.lengths)
-        at = np.arange(len(self.ids))
         #: Places that have one token before them in their text, and those that have two.
-        self.two, self.three = np.flatnonzero(at - 1 >= start), np.flatnonzero(at - 2 >= start)
+        inner = np.ones(len(self.ids), bool)
+        inner[self.first] = False
+        self.two = np.flatnonzero(inner).astype(np.int32)
+        inner[self.first[self.lengths > 1] + 1] = False
+        self.three = np.flatnonzero(inner).astype(np.int32)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the bigrams that end at each place of `two`, and of the trigrams of `three`."""
-        h = self.vocabulary[self.ids]
-        pair = np.zeros(len(h), np.uint64)
-        pair[self.two] = gram_hash(h[self.two - 1], h[self.two])
-        triple = gram_hash(pair[self.three - 1], h[self.three])
-        cut = np.uint64(64 - BITS)
-        return pair[self.two] >> cut, triple >> cut
+        h, cut = self.vocabulary[self.ids], np.uint64(64 - BITS)
+        pair, triple = np.zeros(len(h), np.uint64), np.empty(len(self.three), np.uint64)
+        for k in slices(len(self.two)):
+            at = self.two[k]
+            pair[at] = gram_hash(h[at - 1], h[at])
+        for k in slices(len(self.three)):
+            at = self.three[k]
+            triple[k] = gram_hash(pair[at - 1], h[at]) >> cut
+        del h
+        pair = pair[self.two]
+        pair >>= cut
+        return pair, triple
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
         """All n-grams, distinct and sorted, and how often each occurs in training texts."""
-        two, three = self.grams()
-        learn = np.concatenate((self.learn[self.two], self.learn[self.three])).astype(np.uint64)
-        both = np.sort((np.concatenate((two, three)) << np.uint64(1)) | learn)
-        keys = both >> np.uint64(1)
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.add.reduceat((both & np.uint64(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        both, one = np.concatenate(self.grams()), np.uint64(1)
+        both <<= one
+        both |= np.concatenate((self.learn[self.two], self.learn[self.three]))
+        both.sort()
+        learnt = (both & one).astype(np.uint8)
+        both >>= one
+        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
+        return both[first], np.add.reduceat(learnt, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
 
 
 # --- asks and answers ---
@@ -219,6 +240,7 @@ def _cuts(values: np.ndarray, bits: int, parts: int) -> np.ndarray:
 def _asks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for bucket, *fields in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            given_back()
             own = Bucket(*fields)
             words, n_words = own.vocabulary, np.bincount(own.ids[own.learn], minlength=len(own.vocabulary))
             grams, n_grams = own.asked()
@@ -325,36 +347,51 @@ def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     s = keys[order]
     new = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
+    del s
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return place, order[new]
 
 
-def build(own: Bucket, words: np.ndarray, grams: np.ndarray) -> list[tuple]:
+def _counted(own: Bucket, grams: np.ndarray) -> np.ndarray:
+    """The count of the bigram of each place of `two`, then of the trigram of each of `three`; grams: in the order of `asked`."""
+    return grams[_places(np.concatenate(own.grams()))[0]]
+
+
+def build(own: Bucket, words: np.ndarray, grams: np.ndarray) -> Iterator[tuple]:
     """What the levels of a bucket's trie hold, (contexts, context, word, high, rest of each context) an order, from
     the counts of its words and of its n-grams in the order of `asked`."""
-    hashes = np.concatenate(own.grams())
-    counts = grams[_places(hashes)[0]]
+    counts = _counted(own, grams)
     width = np.int64(max(1, len(own.vocabulary)))
-    levels, context, parent = [], words, own.ids
+    context, parent = words, own.ids
     for prior, places, count in zip(PRIOR, (own.two, own.three), (counts[: len(own.two)], counts[len(own.two) :]), strict=True):
         # Where the context isn't known, nothing that follows it is.
         known = np.flatnonzero((parent[places - 1] >= 0) & (count > 0))
-        at = places[known]
-        keys = parent[at - 1] * width + own.ids[at]
+        at, count = places[known], count[known]
+        del known
+        keys = parent[at - 1] * width
+        keys += own.ids[at]
         node, first = _places(keys)
-        n, keys = count[known][first], keys[first]
-        levels.append((len(context), keys // width, keys % width, quantised(n / (context[keys // width] + prior)), quantised(prior / (context + prior))))
-        parent = np.full(len(own.ids), -1, np.int64)
+        n, keys = count[first], keys[first]
+        parent = np.full(len(own.ids), -1, np.int32)
         parent[at] = node
+        del at, count, node, first
+        above, word = (keys // width).astype(np.int32), (keys % width).astype(np.uint32)
+        del keys
+        high = np.empty(len(n), np.uint8)
+        for k in slices(len(n)):
+            high[k] = quantised(n[k] / (context[above[k]] + prior))
+        rest = np.empty(len(context), np.uint8)
+        for k in slices(len(context)):
+            rest[k] = quantised(prior / (context[k] + prior))
+        yield len(context), above, word, high, rest
         context = n
-    return levels
 
 
 class Trie:
     """A bucket's part of the model, its levels mapped from a work file of the task."""
 
-    def __init__(self, levels: list[tuple], folder: str | None = None):
+    def __init__(self, levels: Iterable[tuple], folder: str | None = None):
         self.file = tempfile.NamedTemporaryFile(dir=folder)  # noqa: SIM115
         self.levels = [Level(*x, self.file) for x in levels]
         self.file.flush()
@@ -369,14 +406,16 @@ class Trie:
         """P of each token given those before it; base: its probability without context."""
         p, context = base.copy(), own.ids
         for places, level in zip((own.two, own.three), self.levels, strict=True):
-            before = context[places - 1]
-            at = places[before >= 0]
-            before = before[before >= 0]
-            node = level.find(before, own.ids[at])
-            own_part = np.where(node >= 0, CODE[level.high[np.maximum(node, 0)]] if level.n else 0.0, 0.0)
-            p[at] = own_part + CODE[level.rest[before]] * p[at]
-            context = np.full(len(own.ids), -1, np.int64)
-            context[at] = node
+            nodes = np.full(len(own.ids), -1, np.int32)
+            for k in slices(len(places)):
+                at = places[k]
+                before = context[at - 1]
+                at, before = at[before >= 0], before[before >= 0]
+                node = level.find(before, own.ids[at])
+                own_part = np.where(node >= 0, CODE[level.high[np.maximum(node, 0)]] if level.n else 0.0, 0.0)
+                p[at] = own_part + CODE[level.rest[before]] * p[at]
+                nodes[at] = node
+            context = nodes
         return p
 
 
@@ -402,14 +441,18 @@ def score(docs: DataFrame) -> DataFrame:
     texts = buckets.select("bucket", "held", "lengths", "vocabulary", "ids")
     asks = texts.mapInArrow(lambda b: _asks(b, parts), _ASK).repartition("part").sortWithinPartitions("part")
     answers = stored(asks.mapInArrow(_answers, _ANSWER), "lm-answers")
+    del asks
+    released(docs.sparkSession)
     total = answers.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
     n_all, base = total["n"], float(total["n"] + total["v"] + 1)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in names]
+        given_back()
         right = right.sort_by("part")
         words, grams = (np.concatenate([count_values(x.as_py()) for x in right.column(c)]) for c in ("words", "grams"))
+        del right
         for docs_, *fields in zip(*(left.column(c).to_pylist() for c in ("docs", "held", "lengths", "vocabulary", "ids")), strict=True):
             own = Bucket(*fields)
             trie = Trie(build(own, words, grams))

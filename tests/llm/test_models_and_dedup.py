@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -321,6 +322,32 @@ def test_trie_search(tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+
+def test_memory_of_a_bucket():
+    """Bytes a token at the most while a bucket asks, and while it is scored: two of them and the JVM share an executor."""
+    r = np.random.default_rng(2)
+    n, kinds = 600_000, 80_000
+    ids = np.minimum(r.zipf(1.2, n), kinds) - 1
+    vocabulary = r.integers(0, 2**63, kinds, dtype=np.uint64)
+    lengths = np.full(n // 200, 200)
+    fields = (bytes([2, 1, 2] * (n // 600)), lengths.astype("<u4").tobytes(), vocabulary.tobytes(), lm.plane_bytes(ids))
+    answers = lm.Bucket(*fields).asked()
+    words = np.bincount(ids, minlength=kinds)
+
+    def scored():
+        own = lm.Bucket(*fields)
+        trie = lm.Trie(lm.build(own, words, answers[1]))
+        assert len(trie.probabilities(own, (words[own.ids] + 1) / 10**9)) == n
+        trie.close()
+
+    for step, most in ((lambda: lm.Bucket(*fields).asked(), 110), (scored, 110)):
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1] / n
+        tracemalloc.stop()
+        assert peak < most, peak
+
+
 def plain_scores(rows):
     """log10 score of each text by the same smoothing, from plain counts of all n-grams of training texts."""
     tokens = [[*SPACE.findall((t or "").lower().encode()), b"\n"] for _, t in rows]
