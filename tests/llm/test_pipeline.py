@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from granary.llm import similar, simhash
 
 from .helpers import EDGES, documents, saved
 from .test_models_and_dedup import plain_components, plain_fingerprint, plain_repeats, repeat_texts
@@ -139,3 +140,45 @@ def marked(texts, span=400):
             if seen[d[i : i + span]] > 1:
                 left[i : i + span] = False
     return out
+
+
+def test_candidates_stay_in_their_tasks(spark, tmp_path, monkeypatch):
+    """Copies in a large group, few of them linked to the first: no step gives a row a pair, in whole buckets or in chunks."""
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(160):
+        text = list(base)
+        for _ in range(r.choice((1, 2, 4))):
+            text[r.randrange(len(text))] = f"x{k}"
+        rows.append((k, " ".join(text)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for _, t in rows]
+    label, pairs = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                pairs += 1
+                label = [label[j] if x == label[i] else x for x in label]
+    want = sorted({label.index(x) for x in label})
+    docs = documents(spark, tmp_path, rows)
+    made = []
+
+    def counted(df, tag):
+        out = stored(df, tag)
+        made.append((out.count(), tag))
+        return out
+
+    stored = similar.stored
+    monkeypatch.setattr(similar, "stored", counted)
+    asked, links = [], simhash.links
+    monkeypatch.setattr(similar, "links", lambda x: asked.append(1) or links(x))
+    for chunk in (1024, 50):
+        monkeypatch.setattr(similar, "CHUNK", chunk)
+        assert sorted(x.doc_id for x in similar.deduplicate(docs).collect()) == want
+    assert 1 < len(want) < 120 and pairs > 1000
+    assert asked, "the stage compares fingerprints"
+    assert max(n for n, tag in made if tag != "similar-candidates") <= 15 * len(rows), sorted(made)
+
+
+def test_agreement_of_linked_pairs():
+    assert similar.least_agreeing(0.8) == 76 and similar.least_agreeing(1.0) == similar.BANDS * similar.ROWS
