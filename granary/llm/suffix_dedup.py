@@ -48,6 +48,8 @@ from .common import ROW, discard, free_name, numbered, released, stored
 SPAN, GRAM, STEP = 400, 32, 16
 #: Strings of one collection.
 COLLECTION = 50_000
+#: Strings of one task, about.
+TASK = 10_000
 WORD_GRAM = 8
 
 
@@ -177,9 +179,11 @@ def spans(rows: DataFrame, units: Units = BYTES) -> DataFrame:
         hashes, 128 bits. The values that repeat are stored first: so both sides of a join are plain
         shuffles, and a hot value's rows are split among tasks when the plan is adapted."""
         marks = stored(repeated(found, "mark"), f"{tag}-marks")
-        wholes = stored(repeated(found, "mark", "whole").withColumn("__w", F.lit(True)), f"{tag}-wholes")
-        seen = stored(found.join(marks, "mark").join(wholes, ["mark", "whole"], "left"), tag)
-        discard(marks, wholes)
+        # Most marks are seen once; only the others' rows are dealt by their wholes.
+        again = stored(found.join(marks, "mark"), f"{tag}-again")
+        wholes = stored(repeated(again, "mark", "whole").withColumn("__w", F.lit(True)), f"{tag}-wholes")
+        seen = stored(again.join(wholes, ["mark", "whole"], "left"), tag)
+        discard(marks, wholes, again)
         known, open_ = seen.where("__w"), seen.where("__w is null").select(ROW, "low", "high", "anchor", "mark")
         one = known.groupBy("mark", "whole").agg(F.min(F.struct(ROW, "low", "high", "anchor")).alias("r")).select("mark", "r.*")
         both = open_.unionByName(one.join(stored(open_.select("mark").distinct(), f"{tag}-open"), "mark", "left_semi"))
@@ -204,7 +208,9 @@ def spans(rows: DataFrame, units: Units = BYTES) -> DataFrame:
     most = COLLECTION if units.size == 1 else 0
     hot = short.groupBy("mark").count().where(F.col("count") > most).select("mark")
     many = stored(short.join(hot, "mark", "left_semi"), "suffix-hot")
-    few = short.join(hot, "mark", "left_anti").repartition("mark").sortWithinPartitions("mark")
+    # The transform takes long for its bytes, so tasks go by the number of strings; else they're coalesced by size.
+    tasks = -(-short.count() // TASK) or 1
+    few = short.join(hot, "mark", "left_anti").repartition(tasks, "mark").sortWithinPartitions("mark")
     last = stored(few.mapInArrow(lambda b: _transformed(b, units), _RANGES), "suffix-transformed")
     windows = many.mapInArrow(lambda b: _windows(b, units), f"{ROW} long, low long, mark long, whole long")
     twice = stored(repeated(windows, "mark", "whole"), "suffix-twice")

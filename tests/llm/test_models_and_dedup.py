@@ -376,3 +376,25 @@ def test_rare_ngrams_of_a_large_corpus(spark, tmp_path):
     for (i, _), want in zip(rows, plain_scores(rows), strict=True):
         assert got[i].score == pytest.approx(want, abs=0.03 * got[i].n_tokens), i
     assert got[held[0]].score > got[held[0]].base_score + 5
+
+
+def test_tasks_of_the_transform_follow_its_strings(spark, tmp_path, monkeypatch):
+    """Small strings, long rounds: the transform's tasks go by the number of strings, and only rows of repeated marks are dealt by their wholes."""
+    r = random.Random(3)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = [prose(700) for _ in range(20)]
+    texts = [prose(2000) + shared[k % 20] + prose(2000) for k in range(60)]
+    made = {}
+
+    def kept(df, tag):
+        out = stored(df, tag)
+        made[tag] = (out.count(), len(out.inputFiles()))
+        return out
+
+    stored = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", kept)
+    monkeypatch.setattr(suffix_dedup, "TASK", 5)
+    got = {x.doc_id: x.n_removed for x in suffix_dedup.op6_suffix_dedup(documents(spark, tmp_path, list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(60)] == [x[1] for x in plain_repeats(texts, 400)]
+    assert made["suffix-short"][0] > 50 and made["suffix-transformed"][1] > 4
+    assert made["suffix-judged-again"][0] < made["suffix-groups"][0] / 2
