@@ -2,60 +2,116 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from .common import texts_by_id
 
 TOKEN = r"[A-Za-z][A-Za-z0-9\\-_/]+"
-
-
-def tokens(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), lambda t: F.lower(t))
-
-
-def _isin(x: Column, words: tuple[str, ...]) -> Column:
-    return x.isin(*words)
-
-
-def term_scores(docs: DataFrame, stop: tuple[str, ...] = L.STOP, generic: tuple[str, ...] = L.GENERIC) -> DataFrame:
-    """(doc_id, text) -> (doc_id, term, score, is_phrase, first): a word counts 1, a pair of neighbours 1.5
-    times; neither holds stop or generic words."""
-    rows = docs.select("doc_id", F.filter(tokens(F.col("text")), lambda t: ~_isin(t, stop + generic)).alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat(a, F.lit(" "), b))
-    one = rows.select("doc_id", F.posexplode("w").alias("pos", "term"), F.lit(False).alias("is_phrase"))
-    two = rows.select("doc_id", F.posexplode(pairs).alias("pos", "term"), F.lit(True).alias("is_phrase"))
-    weight = F.when(F.col("is_phrase"), 1.5).otherwise(1.0)
-    return one.unionByName(two).groupBy("doc_id", "term", "is_phrase").agg(F.sum(weight).alias("score"), F.min("pos").cast("long").alias("first"))
-
-
-def top_terms(scores: DataFrame, k: int = 25) -> DataFrame:
-    """The max(2k, k + 10) best of each text, ties by where words come before pairs and by first place; terms
-    under three characters go afterwards."""
-    best = Window.partitionBy("doc_id").orderBy(F.desc("score"), "is_phrase", "first", "term")
-    return scores.withColumn("rank", F.row_number().over(best).cast("long")).where((F.col("rank") <= max(2 * k, k + 10)) & (F.char_length("term") >= 3))
+_FIND = re.compile(TOKEN).findall
+#: Texts whose terms are held at once, and words whose counts are.
+SLICE, HELD = 500, 200_000
+
+
+def _terms(text: str | None, stop: frozenset[str]) -> list[str]:
+    found = _FIND(text or "")
+    return [t for t in " ".join(found).lower().split(" ") if t not in stop] if found else []
+
+
+def _best(texts: list[str | None], stop: frozenset[str], most: int) -> list[tuple[str, float, bool]]:
+    """The `most` best (term, score, is_phrase). Counters keep the order of first places, and sorts keep it for ties."""
+    each = [_terms(t, stop) for t in texts]
+    if len(each) == 1:
+        w = each[0]
+        rows = [(t, float(n), False) for t, n in Counter(w).items()] + [(" ".join(t), 1.5 * n, True) for t, n in Counter(pairwise(w)).items()]
+        return heapq.nlargest(most, rows, key=lambda x: x[1])
+    found: dict[tuple[bool, str], tuple[float, int]] = {}
+    for w in each:
+        for is_phrase, one, terms in ((False, 1.0, w), (True, 1.5, map(" ".join, pairwise(w)))):
+            for pos, t in enumerate(terms):
+                score, first = found.get((is_phrase, t), (0.0, pos))
+                found[is_phrase, t] = (score + one, min(first, pos))
+    order = sorted(found.items(), key=lambda x: (-x[1][0], x[0][0], x[1][1], x[0][1]))
+    return [(t, score, is_phrase) for (is_phrase, t), (score, _) in order[:most]]
+
+
+def best_terms(docs: DataFrame, k: int = 25, stop: tuple[str, ...] = L.STOP, generic: tuple[str, ...] = L.GENERIC) -> DataFrame:
+    """(doc_id, text) -> (doc_id, best), best an array of structs (term, score, rank, is_phrase): a word counts 1, a pair of neighbours 1.5 times;
+    neither holds stop or generic words. Of each text the max(2k, k + 10) best, ties by where words come before pairs and by first place; terms
+    under three characters go afterwards. Terms are counted where a text lies: only ids that come twice are shuffled."""
+    without, most = frozenset(stop + generic), max(2 * k, k + 10)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                ends, rows = [0], []
+                for texts in part.column(1):
+                    rows += [(t, score, rank, is_phrase) for rank, (t, score, is_phrase) in enumerate(_best(texts.as_py(), without, most), 1) if len(t) >= 3]
+                    ends.append(len(rows))
+                columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+                fields = [pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.float64(), pa.int64(), pa.bool_()), strict=True)]
+                best = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["term", "score", "rank", "is_phrase"]))
+                yield pa.RecordBatch.from_arrays([part.column(0), best], names=["doc_id", "best"])
+
+    rows = texts_by_id(docs)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, best array<struct<term string, score double, rank bigint, is_phrase boolean>>")
+
+
+def top_terms(docs: DataFrame, k: int = 25) -> DataFrame:
+    """(doc_id, text) -> (doc_id, term, score, rank, is_phrase): `best_terms` as rows."""
+    return best_terms(docs, k).select("doc_id", F.inline("best"))
 
 
 def document_frequency(docs: DataFrame, stop: tuple[str, ...] = L.STOP, generic: tuple[str, ...] = L.GENERIC) -> DataFrame:
-    """(term, df): in how many texts each word is, stop and generic words left out."""
-    words = F.array_distinct(F.filter(tokens(F.col("text")), lambda t: ~_isin(t, stop + generic)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-
-
-def pruned(top: DataFrame, df: DataFrame, max_df: int = 25, max_unigrams: int = 8, min_phrase_ratio: float = 0.6) -> DataFrame:
-    """Phrases, and single words of four characters or more that few texts have: max_unigrams at most, and
-    no more than leave phrases their share."""
-    phrases = top.where("is_phrase").select("doc_id", "term", "rank", F.lit(0).alias("kind"))
-    words = top.where("not is_phrase and char_length(term) >= 4").join(df.where(F.col("df") <= max_df), "term").select("doc_id", "term", "rank")
-    order = Window.partitionBy("doc_id").orderBy("rank")
-    words = words.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_unigrams)
-    counts = phrases.groupBy("doc_id").agg(F.count("*").alias("p")).join(words.groupBy("doc_id").agg(F.count("*").alias("u")), "doc_id", "full").select("doc_id", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("u", F.lit(0)).alias("u"))
-    low = (F.col("p") > 0) & (F.col("p") < min_phrase_ratio * (F.col("p") + F.col("u")))
-    most = counts.select("doc_id", F.when(low, F.greatest(F.lit(0), F.floor(F.col("p") / min_phrase_ratio - F.col("p")))).otherwise(F.col("u")).alias("most"))
-    kept = words.join(most, "doc_id").where(F.col("k") <= F.col("most")).select("doc_id", "term", "rank", F.lit(1).alias("kind"))
-    return phrases.unionByName(kept).select("doc_id", "term", F.row_number().over(Window.partitionBy("doc_id").orderBy("kind", "rank")).cast("long").alias("place"))
+    """(term, df): in how many texts each word is, stop and generic words left out. Tasks send counts, not words."""
+    without = frozenset(stop + generic)
+
+    def counts(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["term", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in batches:
+            for text in b.column(0):
+                found.update(set(_terms(text.as_py(), without)))
+                if len(found) >= HELD:
+                    yield counts(found)
+                    found = Counter()
+        yield counts(found)
+
+    return docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def pruned_lists(best: DataFrame, df: DataFrame, max_df: int = 25, max_unigrams: int = 8, min_phrase_ratio: float = 0.6) -> DataFrame:
+    """`best_terms` -> (doc_id, patterns): phrases, and single words of four characters or more that few texts have: max_unigrams at most,
+    and no more than leave phrases their share. Texts meet the rare words in one row a word; their phrases travel in one row more."""
+    slim = best.select("doc_id", F.transform("best", lambda x: F.struct(x["rank"].alias("rank"), x["term"].alias("term"), x["is_phrase"].alias("is_phrase"))).alias("best"))
+    phrases = F.transform(F.filter("best", lambda x: x["is_phrase"]), lambda x: x["term"])
+    words = F.transform(F.filter("best", lambda x: ~x["is_phrase"] & (F.char_length(x["term"]) >= 4)), lambda x: F.struct(x["term"].alias("key"), x["rank"].alias("rank"), F.lit(None).cast("array<string>").alias("phrases")))
+    # No word begins with a blank: the row of the phrases meets none, and rows of many texts don't share a key.
+    own = F.struct(F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), F.lit(None).cast("long").alias("rank"), phrases.alias("phrases"))
+    each = slim.select("doc_id", F.explode(F.concat(F.array(own), words)).alias("x")).select("doc_id", "x.*")
+    met = each.join(df.where(F.col("df") <= max_df).select(F.col("term").alias("key"), F.lit(True).alias("rare")), "key", "left").where("rank is null or rare")
+    kept = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", F.col("key").alias("term"))))).alias("words"), F.first("phrases", ignorenulls=True).alias("phrases"))
+    kept = kept.select("doc_id", "phrases", F.slice("words", 1, max_unigrams).alias("words"))
+    p, u = F.size("phrases"), F.size("words")
+    low = (p > 0) & (p < min_phrase_ratio * (p + u))
+    most = F.when(low, F.greatest(F.lit(0).cast("long"), F.floor(p / min_phrase_ratio - p))).otherwise(u).cast("int")
+    return kept.select("doc_id", F.concat("phrases", F.transform(F.slice("words", F.lit(1), most), lambda x: x["term"])).alias("patterns")).where(F.size("patterns") > 0)
+
+
+def pruned(best: DataFrame, df: DataFrame, max_df: int = 25, max_unigrams: int = 8, min_phrase_ratio: float = 0.6) -> DataFrame:
+    """`pruned_lists` as rows (doc_id, term, place)."""
+    return pruned_lists(best, df, max_df, max_unigrams, min_phrase_ratio).select("doc_id", F.posexplode("patterns").alias("k", "term")).select("doc_id", "term", (F.col("k") + 1).cast("long").alias("place"))
 
 
 def is_noisy(s: Column) -> Column:
@@ -149,10 +205,8 @@ def build_rules(rows: DataFrame, top: int = 25, max_df: int = 25, max_unigrams:
     """Questions (viq_no, chapter_no, viq_question, procedural_requirements) -> rules (viq_no, chapter_no, patterns): the best terms of each,
     pruned by how many questions have them; a question without any has no rule."""
     texts = usable(rows).select(F.col("viq_no").alias("doc_id"), "chapter_no", F.concat_ws("\n", "viq_question", "procedural_requirements").alias("text"))
-    best = top_terms(term_scores(texts.select("doc_id", "text")), top)
-    kept = pruned(best, document_frequency(texts), max_df, max_unigrams, min_phrase_ratio)
-    patterns = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("x"))
-    return patterns.join(texts.select("doc_id", F.col("chapter_no").cast("int").alias("chapter_no")), "doc_id").select(F.col("doc_id").alias("viq_no"), "chapter_no", F.transform("x", lambda x: x["term"]).alias("patterns"))
+    found = pruned_lists(best_terms(texts.select("doc_id", "text"), top), document_frequency(texts), max_df, max_unigrams, min_phrase_ratio)
+    return found.join(texts.select("doc_id", F.col("chapter_no").cast("int").alias("chapter_no")), "doc_id").select(F.col("doc_id").alias("viq_no"), "chapter_no", "patterns")
 
 
 def synonym_map(pairs: DataFrame) -> DataFrame:
