@@ -23,3 +23,7 @@ def test_pruned_patterns_shuffles_rows_of_texts_and_rare_words_alone(spark, smal
 
 def test_top_terms_shuffle_nothing(spark, small):
     assert exchanges(QUERIES["top_terms"](spark, small)) == 0
+
+
+def test_rules_build_shuffles_no_terms_beyond_rare_words(spark, small):
+    assert exchanges(QUERIES["rules_build"](spark, small)) <= 4
