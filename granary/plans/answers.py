@@ -137,7 +137,7 @@ query("json_lists", lambda s, d: V.table(s, d, "documents").select("doc_id", T.l
 query("feedback_cards", lambda s, d: V.feedback(s, d).select("id", T.card(F.col("answer"), F.when(F.col("id") % 2 == 0, F.repeat("comment", 90)).otherwise(F.col("comment"))).alias("c")).select("id", "c.answer", "c.comment"), "select d.doc_id as id, case when length(left(text, 300)) > 200 then left(text, 200) || '...' else text end as answer, case when d.doc_id % 2 = 0 then case when quality = 1 then null else left(repeat('comment ' || d.doc_id, 90), 500) end when quality <> 1 then 'comment ' || d.doc_id end as comment from labels l join documents d using (doc_id)")
 query("node_ids", lambda s, d: V.chunks(s, d).select("doc_id", "chunk_index", N.node_id(F.col("client_id"), F.col("doc_id").cast("string"), F.col("chunk_index")).alias("section_node"), I.chunk_id(F.col("client_id"), F.col("doc_id"), F.col("text")).alias("text_node")), f"with {CHUNKS} select doc_id, chunk_index, 'node-' || sha1(client_id || '::' || doc_id || '::' || chunk_index) as section_node, sha1(client_id || '|' || doc_id || '|' || text) as text_node from ch")
 query(
-    "whole_text", lambda s, d: V.table(s, d, "pages").select("page_id", F.md5(T.whole_text(F.col("html")).cast("binary")).alias("h")),
+    "whole_text", lambda s, d: V.table(s, d, "pages").select("page_id", F.md5(T.whole_text(F.col("html"), True).cast("binary")).alias("h")),
     r"select page_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<!\w[^>]*>', ' ', 'gs'), '</?[A-Za-z][^>]*>', ' ', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))) as h from pages".replace('\\"', '"'),
 )
 query(
