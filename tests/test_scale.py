@@ -2,7 +2,9 @@
 
 import re
 
-from granary.operators import mining
+import pyarrow as pa
+
+from granary.operators import mining, sections
 from granary.plans.catalog import QUERIES
 
 
@@ -27,3 +29,12 @@ def test_top_terms_shuffle_nothing(spark, small):
 
 def test_rules_build_shuffles_no_terms_beyond_rare_words(spark, small):
     assert exchanges(QUERIES["rules_build"](spark, small)) <= 4
+
+
+def test_section_rows_leave_a_worker_in_parts(monkeypatch):
+    monkeypatch.setattr(sections, "HELD", 30)
+    pages = pa.RecordBatch.from_pydict({"file": ["a", "b", "c", "d"], "html": ["<h1>x</h1><p>y</p>", "<h1>x</h1><p>y</p>", None, "<h2>z"]})
+    schema = pa.schema([("file", pa.string()), ("section", pa.int64()), ("title", pa.string())])
+    made = lambda file, html: [{"file": file, "section": k, "title": x["title"]} for k, x in enumerate(sections.section_tree(html))]
+    parts = [b.to_pylist() for b in sections.by_page(iter([pages]), made, schema)]
+    assert [[(r["file"], r["title"]) for r in p] for p in parts] == [[("a", "x"), ("b", "x")], [("c", "Document"), ("d", "z")]]
