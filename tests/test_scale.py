@@ -38,3 +38,8 @@ def test_section_rows_leave_a_worker_in_parts(monkeypatch):
     made = lambda file, html: [{"file": file, "section": k, "title": x["title"]} for k, x in enumerate(sections.section_tree(html))]
     parts = [b.to_pylist() for b in sections.by_page(iter([pages]), made, schema)]
     assert [[(r["file"], r["title"]) for r in p] for p in parts] == [[("a", "x"), ("b", "x")], [("c", "Document"), ("d", "z")]]
+
+
+def test_section_tree_of_a_deep_page():
+    found = sections.section_tree("<h2>x</h2>" + "<div>" * 5000 + "deep")
+    assert found[0]["blocks"][0]["text"] == "x\n\ndeep"
