@@ -43,3 +43,13 @@ def test_section_rows_leave_a_worker_in_parts(monkeypatch):
 def test_section_tree_of_a_deep_page():
     found = sections.section_tree("<h2>x</h2>" + "<div>" * 5000 + "deep")
     assert found[0]["blocks"][0]["text"] == "x\n\ndeep"
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    for page, plain in (('<H2 id="a" CLASS="b">x &amp; y</h2><p>1 &lt 2<br>z', True), ("<p>a < b", False), ("<br/>", False), ("<script><p></script>", False), ("text", True), ("", True), ('<a href="?a&amp;b">x</a>', False)):
+        fast, slow = sections._Tree(), sections._Tree()
+        assert fast.feed_plain(page) == plain
+        slow.feed(page)
+        slow.close()
+        shape = lambda x: (x.tag, x.attributes, [c if isinstance(c, str) else shape(c) for c in x.children])  # noqa: B023, E731
+        assert not plain or shape(fast.root) == shape(slow.root)
