@@ -2,10 +2,13 @@
 
 import re
 
+import duckdb
 import pyarrow as pa
+import pytest
 
-from granary.operators import mining, sections
+from granary.operators import mining, retrieval, sections
 from granary.plans.catalog import QUERIES
+from granary.plans.understanding import BM25
 
 
 def plan(df):
@@ -53,3 +56,20 @@ def test_plain_pages_are_read_as_the_parser_reads_them():
         slow.close()
         shape = lambda x: (x.tag, x.attributes, [c if isinstance(c, str) else shape(c) for c in x.children])  # noqa: B023, E731
         assert not plain or shape(fast.root) == shape(slow.root)
+
+
+def test_bm25_of_repeated_and_empty_rows(spark, tmp_path):
+    docs = [(1, "the red fox"), (1, "red red dog"), (1, "a longer red dog here"), (2, None), (3, ""), (4, "Fox fox"), (5, "the dog"), (6, "the dog")]
+    asked = [(1, "red fox red"), (1, "fox den"), (2, "the dog"), (3, None), (4, "zz")]
+    got = retrieval.bm25_topk(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 12).collect()
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar); create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    con.executemany("insert into benchmark values (?, ?)", asked)
+    assert sorted((r.query_id, r.doc_id, r.score, r.rank) for r in got) == sorted(con.execute(f"with {BM25} select query_id, doc_id, score, rank from bk").fetchall())
+    assert len(got) > 4
+
+
+@pytest.mark.parametrize("name", ["rerank_apply"])
+def test_passages_meet_texts_without_a_shuffle_of_words(spark, small, name):
+    assert "hashpartitioning(doc_id" not in plan(QUERIES[name](spark, small))
