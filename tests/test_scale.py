@@ -70,6 +70,6 @@ def test_bm25_of_repeated_and_empty_rows(spark, tmp_path):
     assert len(got) > 4
 
 
-@pytest.mark.parametrize("name", ["rerank_apply", "reference_build", "hybrid_rrf", "no_result_answer", "extractive_answer", "intent_reorder", "rerank_prompt", "marked_passages", "chat_sources"])
+@pytest.mark.parametrize("name", ["rerank_apply", "reference_build", "hybrid_rrf", "no_result_answer", "extractive_answer", "intent_reorder", "rerank_prompt", "marked_passages", "chat_sources", "citations"])
 def test_passages_meet_texts_without_a_shuffle_of_words(spark, small, name):
     assert "hashpartitioning(doc_id" not in plan(QUERIES[name](spark, small))
