@@ -176,12 +176,20 @@ def export_csv(rows: DataFrame, path: str, order: str | None = None) -> None:
 
 
 def exported(rows: DataFrame, form: str, time: str = "timestamp") -> DataFrame:
-    """(place, line) of rows as JSON or CSV, newest first; of CSV the first line is the header."""
+    """(place, line) of rows as JSON or CSV, newest first; of CSV the first line is the header. Rows are placed within their hour, in many tasks;
+    one task adds up the hours' counts alone."""
     if form not in ("json", "csv"):
         raise ValueError("form must be json or csv")
     columns = F.struct(*rows.columns)
     line = F.to_json(columns, {"ignoreNullFields": "false"}) if form == "json" else F.to_csv(columns)
-    out = rows.select(F.row_number().over(Window.orderBy(F.desc(time), F.desc("id"))).cast("long").alias("place"), line.alias("line"))
+    hour = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 3_600_000_000).cast("long")
+    hours = rows.groupBy(hour.alias("__hour")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(F.desc("__hour")).rowsBetween(Window.unboundedPreceding, -1))
+    hours = hours.select("__hour", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__hour").orderBy(F.desc(time), F.desc("id"))
+    placed = rows.withColumns({"__line": line, "__hour": hour}).withColumn("__place", F.row_number().over(inside))
+    met = placed.alias("a").join(F.broadcast(hours).alias("b"), F.col("a.__hour").eqNullSafe(F.col("b.__hour")))
+    out = met.select((F.col("__before") + F.col("__place")).cast("long").alias("place"), F.col("__line").alias("line"))
     return out if form == "json" else out.unionByName(rows.sparkSession.createDataFrame([(0, ",".join(rows.columns))], "place long, line string"))
 
 

@@ -1,14 +1,18 @@
 """How queries move their rows: what is shuffled, and what one task or worker holds."""
 
+import datetime as dt
+import json
 import re
 
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from granary.operators import mining, retrieval, sections
 from granary.plans.catalog import QUERIES
 from granary.plans.understanding import BM25
+from granary.sources import files
 
 
 def plan(df):
@@ -73,3 +77,15 @@ def test_bm25_of_repeated_and_empty_rows(spark, tmp_path):
 @pytest.mark.parametrize("name", ["rerank_apply", "reference_build", "hybrid_rrf", "no_result_answer", "extractive_answer", "intent_reorder", "rerank_prompt", "marked_passages", "chat_sources", "citations"])
 def test_passages_meet_texts_without_a_shuffle_of_words(spark, small, name):
     assert "hashpartitioning(doc_id" not in plan(QUERIES[name](spark, small))
+
+
+def test_export_is_placed_in_many_tasks(spark):
+    at = lambda x: x and dt.datetime.fromisoformat(x)
+    times = ["2024-01-01 00:59:59", "2024-01-01 01:00:00", "2024-01-01 01:00:00", "2023-12-31 23:30:00", "1969-12-31 23:59:59", None, None]
+    rows = spark.createDataFrame([(k, at(x)) for k, x in enumerate(times)], "id long, timestamp timestamp_ntz")
+    out = files.exported(rows, "json")
+    assert [(r.place, json.loads(r.line)["id"]) for r in out.orderBy("place").collect()] == [(1, 2), (2, 1), (3, 0), (4, 3), (5, 4), (6, 6), (7, 5)]
+    assert [r.place for r in files.exported(rows, "csv").orderBy("place").collect()] == list(range(8))
+    many = spark.range(2000).select("id", F.timestamp_seconds(F.col("id") * 600).alias("timestamp"))
+    shares = files.exported(many, "json").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(shares) > 1
