@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import mining, retrieval, sections
+from granary.functions import text as T
+from granary.operators import anchors, mining, retrieval, sections
 from granary.plans.catalog import QUERIES
 from granary.plans.understanding import BM25
 from granary.sources import files
@@ -89,3 +90,17 @@ def test_export_is_placed_in_many_tasks(spark):
     many = spark.range(2000).select("id", F.timestamp_seconds(F.col("id") * 600).alias("timestamp"))
     shares = files.exported(many, "json").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert len(shares) > 1
+
+
+def scans(df):
+    return plan(df).count("FileScan parquet")
+
+
+def test_prefixes_and_titles_meet_in_one_pass(spark, small):
+    assert scans(QUERIES["anchor_by_prefix"](spark, small)) == 2 and exchanges(QUERIES["anchor_by_prefix"](spark, small)) == 2
+    index = [("f", "bookmark", 1, 0, "b0", "ab c"), ("f", "bookmark", 1, 1, "b1", "ab d"), ("f", "bookmark", 1, 2, "b2", "ab c"), ("f", "toc", 0, 0, "t0", "ab"), ("f", "toc", 0, 1, "t1", "x"), ("g", "toc", 0, 0, "t2", "ab c")]
+    index = spark.createDataFrame(index, "file string, source string, rank int, pos long, id string, key string")
+    titles = spark.createDataFrame([("f", "AB"), ("f", "ab "), ("f", "ab c"), ("f", "a"), ("f", None), ("g", "ab"), ("h", "ab"), (None, "x")], "file string, title string")
+    got = {(r.file, r.title): r.anchor for r in anchors.resolve_by_prefix(titles, index).collect()}
+    assert got == {("f", "AB"): "t0", ("f", "ab "): "t0", ("f", "ab c"): "b2", ("f", "a"): "sec-a", ("f", None): "sec-untitled", ("g", "ab"): "t2", ("h", "ab"): "sec-ab", (None, "x"): "sec-x"}
+    assert {(r.file, r.title): r.anchor for r in anchors.resolve_by_prefix(spark.createDataFrame([("f", "ab")], titles.schema), index.where("source = 'bookmark'")).collect()} == {("f", "ab"): "b2"}
