@@ -104,3 +104,7 @@ def test_prefixes_and_titles_meet_in_one_pass(spark, small):
     got = {(r.file, r.title): r.anchor for r in anchors.resolve_by_prefix(titles, index).collect()}
     assert got == {("f", "AB"): "t0", ("f", "ab "): "t0", ("f", "ab c"): "b2", ("f", "a"): "sec-a", ("f", None): "sec-untitled", ("g", "ab"): "t2", ("h", "ab"): "sec-ab", (None, "x"): "sec-x"}
     assert {(r.file, r.title): r.anchor for r in anchors.resolve_by_prefix(spark.createDataFrame([("f", "ab")], titles.schema), index.where("source = 'bookmark'")).collect()} == {("f", "ab"): "b2"}
+
+
+def test_toc_chunks_shuffle_pages_once(spark, small):
+    assert exchanges(QUERIES["toc_chunks"](spark, small)) == 1
