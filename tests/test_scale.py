@@ -108,3 +108,11 @@ def test_prefixes_and_titles_meet_in_one_pass(spark, small):
 
 def test_toc_chunks_shuffle_pages_once(spark, small):
     assert exchanges(QUERIES["toc_chunks"](spark, small)) == 1
+
+
+def test_titles_meet_anchors_in_one_pass(spark, small):
+    assert scans(QUERIES["anchor_resolve"](spark, small)) == 2 and exchanges(QUERIES["anchor_resolve"](spark, small)) == 2
+    index = [("f", "slug", 4, 0, "s", ""), ("f", "heading", 2, 0, "h", "k"), ("f", "bookmark", 1, 5, "b", "k"), ("f", "toc", 0, 9, "t9", "j"), ("f", "toc", 0, 2, "t2", "j")]
+    titles = spark.createDataFrame([("f", "K"), ("f", "4. j"), ("f", "4."), ("f", None)], "file string, title string")
+    got = anchors.resolve(titles, spark.createDataFrame(index, "file string, source string, rank int, pos long, id string, key string")).collect()
+    assert {r.title: r.anchor for r in got} == {"K": "b", "4. j": "t2", "4.": "s", None: "sec-untitled"}
