@@ -116,3 +116,10 @@ def test_titles_meet_anchors_in_one_pass(spark, small):
     titles = spark.createDataFrame([("f", "K"), ("f", "4. j"), ("f", "4."), ("f", None)], "file string, title string")
     got = anchors.resolve(titles, spark.createDataFrame(index, "file string, source string, rank int, pos long, id string, key string")).collect()
     assert {r.title: r.anchor for r in got} == {"K": "b", "4. j": "t2", "4.": "s", None: "sec-untitled"}
+
+
+def test_bookmark_sections_are_cut_where_the_page_lies(spark, small):
+    assert exchanges(QUERIES["bookmark_sections"](spark, small)) == 1
+    texts = ["a<b", "<p>x&nbsp;y&amp;lt; &amp z</p>", "< SCRIPT a>b</ script >c<style>d</STYLE>", "\x1c a\x85b\u2003c \t", "", "<a\n>é&eacute;&#8364;", "a > b &lt; c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.strip_tags(F.col("t")).alias("s")).collect()
+    assert [r.s for r in rows] == [T.stripped(r.t) for r in rows]
